@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm import frequency, packing, split, topn
+from glossweave.llm import frequency, language, leakage, packing, split, topn
 
 #: Where the files of the public tokenizers lie, unless the caller says so.
 TOKENIZERS = os.environ.get("GLOSSWEAVE_TOKENIZERS", "/opt/tokenizers")
@@ -91,5 +91,29 @@ def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumnRenamed("key", "doc_id")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_packed": p6_packed}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = leakage.leaked(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "eval_items"), "item_id", "text")
+    return pairs.select(F.col("key").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    profiles = language.learned(_read(spark, sf_dir, "lang_samples"), docs, "text", "lang", "doc_id")
+    labelled = docs.select("doc_id", "text", language.label_language(F.col("lang")).alias("label"))
+    return language.segment_languages(labelled, "doc_id", "text", profiles, keep=["label"])
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _judged(spark, sf_dir)
+    wrong = lines.where("n_words >= 8 and lang is not null and not (lang <=> label)")
+    return wrong.select(F.col("key").alias("doc_id"), "line_no", "lang")
+
+
+def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its label's language, its own and how sure that is."""
+    first = _judged(spark, sf_dir).where("line_no = 0")
+    return first.select(F.col("key").alias("doc_id"), "label", F.col("doc_lang").alias("lang"), F.col("doc_confidence").alias("confidence"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_packed": p6_packed, "p7_found": p7_found, "p8_found": p8_found, "p8_documents": p8_documents}
 SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL}
