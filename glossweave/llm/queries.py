@@ -8,7 +8,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossweave.llm import frequency, language, leakage, packing, split, topn
+from glossweave.llm import frequency, language, leakage, names, neighbours, packing, split, topn
 
 #: Where the files of the public tokenizers lie, unless the caller says so.
 TOKENIZERS = os.environ.get("GLOSSWEAVE_TOKENIZERS", "/opt/tokenizers")
@@ -86,6 +86,31 @@ WHERE occ < 10 OR recs > 0.5 * (SELECT count(DISTINCT doc_name) FROM vocab_count
 """
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _read(spark, sf_dir, "fp_weak_log")
+    near = neighbours.nearest(log, "log_id", "entity_embeddings", dim=64, k=3)
+    pairs = near.where("similarity >= 0.9").select(F.least("key", "neighbour").alias("log_id_a"), F.greatest("key", "neighbour").alias("log_id_b"))
+    return pairs.distinct()
+
+
+P4_SQL = """
+WITH v AS (
+  SELECT log_id, any_value(list_transform(entity_embeddings, lambda x: x::DOUBLE)) AS e FROM fp_weak_log
+  WHERE len(entity_embeddings) = 64 AND len(list_filter(entity_embeddings, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(entity_embeddings, lambda x: x <> 0)) > 0 GROUP BY log_id),
+s AS (SELECT a.log_id AS a, b.log_id AS b, round(list_cosine_similarity(a.e, b.e), 7) AS c FROM v a JOIN v b ON a.log_id <> b.log_id),
+k AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 3)
+SELECT DISTINCT least(a, b) AS log_id_a, greatest(a, b) AS log_id_b FROM k WHERE c >= 0.9
+"""
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    typed = _read(spark, sf_dir, "annotations")
+    meant = names.mapped(typed, "annotation_id", "wikiName", "mention", _read(spark, sf_dir, "entity_names"), "name", "entity_id", _read(spark, sf_dir, "redirects"), "old_title", "new_title")
+    # A redelivered row counts once.
+    return meant.where("not as_listed").select(F.col("key").alias("annotation_id"), F.col("entry_id").alias("entity_id")).distinct()
+
+
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.packed_texts(_read(spark, sf_dir, "documents"), "doc_id", "text", f"{TOKENIZERS}/byte_bpe_50k.tiktoken", capacity=2048)
     return rows.withColumnRenamed("key", "doc_id")
@@ -115,5 +140,5 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select(F.col("key").alias("doc_id"), "label", F.col("doc_lang").alias("lang"), F.col("doc_confidence").alias("confidence"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p6_packed": p6_packed, "p7_found": p7_found, "p8_found": p8_found, "p8_documents": p8_documents}
-SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_packed": p6_packed, "p7_found": p7_found, "p8_found": p8_found, "p8_documents": p8_documents}
+SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL}
