@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,15 @@ STOP_WORDS = (
 ).split()
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used.
+
+    Inside a higher-order function an expression of the row would be computed again for
+    every element; a lambda's variable is not.
+    """
+    return F.get(F.transform(F.array(value), use), 0)
+
+
 def chars(x: Column) -> Column:
     """Characters of a string, none for the empty one."""
     return F.filter(F.split(x, ""), lambda c: c != "")
@@ -20,8 +31,11 @@ def chars(x: Column) -> Column:
 
 def title_case(x: Column) -> Column:
     """Every letter after a non-letter in upper case, every other one in lower case."""
-    cs = F.split(x, "")
-    return F.array_join(F.transform(cs, lambda c, i: F.when((i == 0) | ~F.get(cs, i - 1).rlike(r"\p{L}"), F.upper(c)).otherwise(F.lower(c))), "")
+
+    def cased(cs: Column) -> Column:
+        return F.transform(cs, lambda c, i: F.when((i == 0) | ~F.get(cs, i - 1).rlike(r"\p{L}"), F.upper(c)).otherwise(F.lower(c)))
+
+    return F.array_join(let(F.split(x, ""), cased), "")
 
 
 def cap_words(x: Column) -> Column:
@@ -91,9 +105,13 @@ def unicode_unescaped(x: Column) -> Column:
 def at_word_boundary(text: Column, part: Column) -> Column:
     """Whether ``part`` is in ``text`` with no letter directly before or after it, and is
     shorter."""
-    padded = F.concat(F.lit(" "), text, F.lit(" "))
-    around = F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - F.length(part) - 1, F.lit(1))), lambda i: (F.substr(padded, i + 1, F.length(part)) == part) & ~F.substr(padded, i, F.lit(1)).rlike(r"\p{L}") & ~F.substr(padded, i + 1 + F.length(part), F.lit(1)).rlike(r"\p{L}"))
-    return (F.length(text) > F.length(part)) & F.exists(around, lambda b: b)
+    def holds(padded: Column) -> Column:
+        def at(i: Column) -> Column:
+            return (F.substr(padded, i + 1, F.length(part)) == part) & ~F.substr(padded, i, F.lit(1)).rlike(r"\p{L}") & ~F.substr(padded, i + 1 + F.length(part), F.lit(1)).rlike(r"\p{L}")
+
+        return F.exists(F.sequence(F.lit(1), F.greatest(F.length(padded) - F.length(part) - 1, F.lit(1))), at)
+
+    return (F.length(text) > F.length(part)) & F.contains(text, part) & let(F.concat(F.lit(" "), text, F.lit(" ")), holds)
 
 
 def clamped_log(p: Column, zero: float = 1e-6) -> Column:

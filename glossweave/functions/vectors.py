@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glossweave.functions.text import let
+
 
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double"))
@@ -24,8 +26,7 @@ def scaled(v: Column, by: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """The vector at length one; the zero vector stays as it is."""
-    length = norm(v)
-    return F.when(length > 0, F.transform(v, lambda x: x.cast("double") / length)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    return let(norm(v), lambda n: F.transform(v, lambda x: x.cast("double") / F.when(n > 0, n).otherwise(F.lit(1.0))))
 
 
 def added(a: Column, b: Column) -> Column:
@@ -42,9 +43,8 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def softmax(v: Column) -> Column:
-    top = F.array_max(v)
-    e = F.transform(v, lambda x: F.exp(x.cast("double") - top))
-    return F.transform(e, lambda x: x / total(e))
+    powers = let(F.array_max(v), lambda top: F.transform(v, lambda x: F.exp(x.cast("double") - top)))
+    return let(powers, lambda e: let(total(e), lambda t: F.transform(e, lambda x: x / t)))
 
 
 def relu(v: Column) -> Column:

@@ -35,10 +35,14 @@ def chunks(df: DataFrame, key: str, column: str, by: str = "paragraph", separato
         if by == "paragraph":
             out = paragraphs.select(F.concat_ws("&*", "doc", F.col("par").cast("string")).alias("chunk_id"), words.alias("words"))
         else:
-            ends = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: F.element_at("w", i) == separator)
-            cuts = F.array_distinct(F.concat(F.array(F.lit(0)), ends, F.array(F.size("w"))))
-            pieces = F.transform(F.slice(cuts, 2, 1_000_000_000), lambda e, i: F.slice("w", F.get(cuts, i) + 1, e - F.get(cuts, i)))
-            rows = paragraphs.withColumn("w", words).where(F.size("w") > 0).select("doc", "par", F.posexplode(pieces).alias("sent", "words"))
+
+            def pieces(w: Column) -> Column:
+                ends = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: F.element_at(w, i) == separator)
+                cuts = F.array_distinct(F.concat(F.array(F.lit(0)), ends, F.array(F.size(w))))
+                return text.let(cuts, lambda c: F.transform(F.slice(c, 2, 1_000_000_000), lambda e, i: F.slice(w, F.get(c, i) + 1, e - F.get(c, i))))
+
+            made = text.let(words, lambda w: F.when(F.size(w) > 0, pieces(w)))
+            rows = paragraphs.select("doc", "par", F.posexplode(made).alias("sent", "words"))
             out = rows.select(F.concat_ws("&*", "doc", F.col("par").cast("string"), F.col("sent").cast("string")).alias("chunk_id"), "words")
     return out.where(F.size("words") > 0)
 
@@ -74,9 +78,12 @@ def all_spans(chunked: DataFrame, key: str = "chunk_id", words: str = "words", w
 
     Runs between separators bound the spans, so no span is made to be thrown away.
     """
-    n = F.size(words)
-    stops = F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | (F.get(words, i) == separator))
-    rows = chunked.where(n > 0).select(F.col(key).alias("key"), F.explode(F.transform(stops, lambda e, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(stops, i - 1) + 1).alias("lo"), e.alias("hi")))).alias("run"))
+    def cuts(w: Column) -> Column:
+        n = F.size(w)
+        stops = F.filter(F.sequence(F.lit(0), n), lambda i: (i == n) | (F.get(w, i) == separator))
+        return text.let(stops, lambda s: F.transform(s, lambda e, i: F.struct(F.when(i == 0, F.lit(0)).otherwise(F.get(s, i - 1) + 1).alias("lo"), e.alias("hi"))))
+
+    rows = chunked.where(F.size(words) > 0).select(F.col(key).alias("key"), F.explode(text.let(F.col(words), cuts)).alias("run"))
     begins = rows.where("run.lo < run.hi").select("key", F.explode(F.sequence(F.col("run.lo"), F.col("run.hi") - 1)).alias("begin"), F.col("run.hi").alias("hi"))
     made = begins.select("key", "begin", F.explode(F.sequence(F.col("begin") + 1, F.least("hi", F.col("begin") + width))).alias("end"))
     return made.select("key", F.col("begin").cast("bigint").alias("begin"), F.col("end").cast("bigint").alias("end"))
@@ -87,14 +94,12 @@ def span_texts(chunked: DataFrame, key: str = "chunk_id", words: str = "words",
 
     Made from the words in place, without a join: each chunk's row is exploded once.
     """
-    n = F.size(words)
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), n - 1),
-            lambda b: F.transform(F.sequence(F.lit(1), F.least(F.lit(width), n - b)), lambda k: F.struct(b.cast("bigint").alias("begin"), (b + k).cast("bigint").alias("end"), F.slice(words, b + 1, k).alias("w"))),
-        )
-    )
-    rows = chunked.where(n > 0).select(F.col(key).alias("key"), F.explode(spans).alias("s"))
+    def made(ws: Column) -> Column:
+        n = F.size(ws)
+        at = lambda b: F.transform(F.sequence(F.lit(1), F.least(F.lit(width), n - b)), lambda k: F.struct(b.cast("bigint").alias("begin"), (b + k).cast("bigint").alias("end"), F.slice(ws, b + 1, k).alias("w")))
+        return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), at))
+
+    rows = chunked.where(F.size(words) > 0).select(F.col(key).alias("key"), F.explode(text.let(F.col(words), made)).alias("s"))
     return rows.where(~F.array_contains("s.w", separator)).select("key", "s.begin", "s.end", F.array_join("s.w", " ").alias("span"))
 
 
@@ -152,17 +157,20 @@ def packed_context(words: Column, begin: Column, end: Column, known: Callable[[C
     return F.slice(left, F.greatest(F.size(left) - size, F.lit(0)) + 1, F.lit(size)), F.slice(right, F.lit(1), F.lit(size))
 
 
-def spotted(chunked: DataFrame, mentions: DataFrame, key: str = "chunk_id", words: str = "words", width: int = 10) -> DataFrame:
+def spotted(chunked: DataFrame, mentions: DataFrame, key: str = "chunk_id", words: str = "words", width: int = 10, broadcast_rows: int = 200_000) -> DataFrame:
     """(key, begin, end, span): the spans that are a known mention.
 
     ``mentions``: (mention), tokens joined by spaces.  Only where a mention's first word
     stands are spans made, and only of the lengths such mentions have, so the corpus is
-    not multiplied by the width before the lookup.
+    not multiplied by the width before the lookup.  The table of first words is broadcast
+    while it has at most ``broadcast_rows``; beyond that the words are shuffled to it.
     """
     known = mentions.select("mention").where("mention <> ''").distinct().withColumn("_w", F.split("mention", " ")).where(F.size("_w") <= width)
     firsts = known.groupBy(F.get("_w", 0).alias("first")).agg(F.collect_set(F.size("_w")).alias("sizes"))
-    rows = chunked.where(F.size(words) > 0).select(F.col(key).alias("key"), F.col(words).alias("w"))
-    begins = rows.select("key", F.posexplode(F.transform("w", lambda x, i: F.struct(x.alias("first"), F.slice("w", i + 1, F.lit(width)).alias("ahead")))).alias("begin", "x"))
+    if firsts.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        firsts = F.broadcast(firsts)
+    ahead = lambda w: F.transform(w, lambda x, i: F.struct(x.alias("first"), F.slice(w, i + 1, F.lit(width)).alias("ahead")))
+    begins = chunked.where(F.size(words) > 0).select(F.col(key).alias("key"), F.posexplode(text.let(F.col(words), ahead)).alias("begin", "x"))
     begins = begins.select("key", "begin", "x.first", "x.ahead").join(firsts, "first")
     spans = begins.select("key", "begin", "ahead", F.explode("sizes").alias("n")).where(F.size("ahead") >= F.col("n"))
     spans = spans.select("key", F.col("begin").cast("bigint").alias("begin"), (F.col("begin") + F.col("n")).cast("bigint").alias("end"), F.array_join(F.slice("ahead", F.lit(1), F.col("n")), " ").alias("span"))

@@ -55,10 +55,11 @@ def sessions(df: DataFrame, ts: str, gap: str, by: list[str], value: str, late:
     return out.select(F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), *by, "n", "total")
 
 
-def seen_persons(stream: DataFrame, doc: str, order: str, mention: str, timeout: str = "1 hour") -> DataFrame:
+def seen_persons(stream: DataFrame, doc: str, order: str, mention: str, timeout_ms: int | None = None) -> DataFrame:
     """(doc, mention, super): for each mention of a document's stream the newest earlier,
-    longer one that holds it as words; the state keeps a document's mentions and ends
-    after ``timeout`` without new ones."""
+    longer one that holds it as words.  The state keeps a document's mentions; in a stream
+    without end it is dropped ``timeout_ms`` after the last one (a run over what is there
+    needs none, and would wait for it)."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -73,9 +74,8 @@ def seen_persons(stream: DataFrame, doc: str, order: str, mention: str, timeout:
             if held is None:
                 seen.append(m)
         state.update((seen,))
-        state.setTimeoutDuration(timeout_ms)
+        if timeout_ms:
+            state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out)
 
-    amount, unit = timeout.split()
-    timeout_ms = int(amount) * {"second": 1, "seconds": 1, "minute": 60, "minutes": 60, "hour": 3600, "hours": 3600}[unit] * 1000
-    return stream.groupBy(doc).applyInPandasWithState(step, "doc string, mention string, super string", "seen array<string>", "append", "ProcessingTimeTimeout")
+    return stream.groupBy(doc).applyInPandasWithState(step, "doc string, mention string, super string", "seen array<string>", "append", "ProcessingTimeTimeout" if timeout_ms else "NoTimeout")
