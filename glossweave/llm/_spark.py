@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -18,3 +19,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
         named = context.getConf().get("spark.checkpoint.dir")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="glossweave-checkpoints-"))
     return df.checkpoint()
+
+
+def hash_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The ``rows`` of smallest key hash, ties in no order.
+
+    A bound on the hash, taken from the table's size, keeps all but about twice the
+    sample in the tasks, so that what reaches the driver is bounded whatever their number.
+    """
+    n = df.count()
+    h = F.xxhash64(key)
+    if n > 2 * rows:
+        span = 1 << 62
+        df = df.where(F.pmod(h, F.lit(span)) < F.lit(int(span / n * 2 * rows)))
+    return df.orderBy(F.pmod(h, F.lit(1 << 62))).limit(rows)

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossweave.llm._spark import hash_sample
+
 LETTERS = 32  # 0: no letter, 1..26: a..z, 27: any other letter
 
 #: What labels may call a language besides its two-letter code.
@@ -190,8 +192,8 @@ def learned(samples: DataFrame, labelled: DataFrame, text: str, lang: str, key:
     few = samples.where(f"{text} is not null and {lang} is not null").select(lang, text).limit(10 * sample_rows).collect()
     langs = tuple(sorted({r[0] for r in few}))
     first = fitted(np.stack([counted([r[1] for r in few if r[0] == n]) for n in langs]), langs, dim, seed)
-    named = labelled.where(F.col(text).isNotNull()).select(label_language(F.col(lang)).alias("named"), F.col(text).alias("text"), F.xxhash64(key).alias("h"))
-    rows = named.where(F.col("named").isin(*langs)).orderBy("h").limit(sample_rows).collect()
+    named = labelled.where(F.col(text).isNotNull()).select(label_language(F.col(lang)).alias("named"), F.col(text).alias("text"), F.col(key).alias("key"))
+    rows = hash_sample(named.where(F.col("named").isin(*langs)), "key", sample_rows).collect()
     if not rows:
         return first
     lines = [r["text"].split("\n") for r in rows]
