@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossweave.llm._spark import checkpointed
+from glossweave.llm._spark import checkpointed, hash_sample
 
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -162,9 +162,12 @@ def nearest(
     ``block_rows``, all blocks with all, each a task's bounded work.
     """
     kind = df.schema[key].dataType.simpleString()
-    rows = df.where(F.col(key).isNotNull() & usable(F.col(vector), dim)).select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    one = rows.groupBy("key").agg(F.min("v").alias("v")).select("key", F.transform("v", lambda x: x / length).alias("v"))
+    rows = df.where(F.col(key).isNotNull() & usable(F.col(vector), dim)).select(F.col(key).alias("key"), F.col(vector).cast("array<float>").alias("v"))
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    whole = rows.groupBy("key").agg(F.min("v").alias("v")).select("key", "v", F.array(length).alias("n"))
+    # The length is bound in a lambda, so it isn't computed again for every number.
+    unit = F.get(F.transform("n", lambda n: F.transform("v", lambda x: (x / n).cast("float"))), 0)
+    one = whole.select("key", unit.alias("v"))
     # Equal vectors are one class, known by two hashes.
     kept = one.select("key", "v", F.xxhash64("v").alias("c1"), F.xxhash64(F.lit(1), "v", F.lit(2)).alias("c2"))
     cut = checkpointed(kept)
@@ -186,13 +189,13 @@ def nearest(
 
 def _search(vectors: DataFrame, kind: str, dim: int, k: int, probes: int, part_rows: int, most_parts: int, sample_rows: int, block_rows: int) -> DataFrame:
     """(rep, near, sim): the k nearest of every distinct vector."""
-    table = checkpointed(vectors.select(F.col("rep"), F.col("v").cast("array<float>").alias("f"), "v"))
+    table = checkpointed(vectors.select("rep", "v"))
     n = table.count()
     parts = max(1, min(most_parts, round(n / part_rows)))
     router = None
     if parts > 1:
-        taken = table.select("f", F.xxhash64("rep").alias("h")).orderBy("h").limit(sample_rows).select("f").toArrow()
-        router = learned_router(_matrix(taken["f"].combine_chunks(), dim), parts)
+        taken = hash_sample(table, "rep", sample_rows).select("v").toArrow()
+        router = learned_router(_matrix(taken["v"].combine_chunks(), dim), parts)
     asked = min(probes, parts)
 
     def route(batches):
@@ -205,9 +208,9 @@ def _search(vectors: DataFrame, kind: str, dim: int, k: int, probes: int, part_r
             at = pa.array(np.repeat(np.arange(len(x)), order.shape[1]))
             home = np.zeros(order.shape, bool)
             home[:, 0] = True
-            yield pa.record_batch([batch.column(0).take(at), batch.column(2).take(at), pa.array(order.ravel()), pa.array(home.ravel())], names=["rep", "v", "part", "home"])
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(order.ravel()), pa.array(home.ravel())], names=["rep", "v", "part", "home"])
 
-    routed = table.mapInArrow(route, f"rep {kind}, v array<double>, part bigint, home boolean")
+    routed = table.mapInArrow(route, f"rep {kind}, v array<float>, part bigint, home boolean")
     # Sizes of the parts, at most ``most_parts`` rows, tell how many blocks they need.
     sizes = routed.groupBy("part").agg(F.count("*").alias("queries"), F.count_if("home").alias("homes")).collect()
     base_blocks = {r["part"]: -(-r["homes"] // block_rows) or 1 for r in sizes}
@@ -225,7 +228,7 @@ def _search(vectors: DataFrame, kind: str, dim: int, k: int, probes: int, part_r
 
     def compare(group: pa.Table) -> pa.Table:
         is_base = group["base"].to_numpy()
-        x = _matrix(group["v"].combine_chunks(), dim)
+        x = _matrix(group["v"].combine_chunks(), dim).astype(np.float64)
         names = group["rep"].combine_chunks()
         base_at, query_at = np.flatnonzero(is_base), np.flatnonzero(~is_base)
         # Bases in order of their names: a stable sort then resolves equal cosines.
