@@ -39,7 +39,7 @@ def lines(mentions: DataFrame, training: bool = False) -> DataFrame:
     """Records as lines (doc, mention, left, right, cands, gold, gold_pos): testing keeps
     mentions without their gold as ``-1``; training drops them."""
     rows = mentions.where("gold_pos > 0") if training else mentions
-    cand = lambda c: F.concat_ws(",", c["id"].cast("string"), F.format_number(c["p"], "0.000"), c["name"])
+    cand = lambda c: F.concat_ws(",", c["id"].cast("string"), F.format_string("%.3f", c["p"]), c["name"])
     cands = F.when(F.size("cands") > 0, F.array_join(F.transform("cands", cand), "\t")).otherwise(F.lit("EMPTYCAND"))
     ctx = lambda c: F.when(F.size(c) > 0, F.array_join(c, " ")).otherwise(F.lit("EMPTYCTXT"))
     gold = F.when(F.col("gold_pos") > 0, F.concat_ws(",", F.col("gold_pos").cast("string"), cand(F.get("cands", (F.col("gold_pos") - 1).cast("int"))))).otherwise(F.concat_ws(",", F.lit("-1"), F.col("gold").cast("string")))

@@ -295,9 +295,13 @@ def freq_buckets(s, d):
 
 
 @query(f"""
-SELECT least(cand_pos, 5)::BIGINT AS gold_pos, count(*) AS mentions FROM ({LOGGED}) WHERE cand_entity = gt_entity GROUP BY 1""")
+WITH c AS ({CANDIDATES}), g AS (SELECT DISTINCT * FROM ({GOLD})),
+m AS (SELECT g.doc, g."begin", g."end", g.entity, min(pos) AS pos FROM g JOIN c ON c.doc = g.doc AND c."begin" = g."begin" AND c."end" = g."end" AND c.entity = g.entity GROUP BY ALL)
+SELECT least(pos, 5) AS gold_pos, count(*) AS mentions FROM m GROUP BY 1""")
 def gold_position_buckets(s, d):
-    return _logged(s, d).where("cand_entity = gt_entity").groupBy(F.least("cand_pos", F.lit(5)).cast("bigint").alias("gold_pos")).agg(F.count("*").alias("mentions"))
+    span = ["doc", "begin", "end", "entity"]
+    found = tables.gold(s, d).distinct().join(tables.span_candidates(s, d), span).groupBy(*span).agg(F.min("pos").alias("pos"))
+    return found.groupBy(F.least("pos", F.lit(5)).cast("bigint").alias("gold_pos")).agg(F.count("*").alias("mentions"))
 
 
 SPANWISE = f"""
@@ -309,7 +313,7 @@ FROM ({LOGGED}) WHERE final_score IS NULL OR NOT isnan(final_score) GROUP BY ALL
 WITH m AS (SELECT *, system = gold AS r, base = gold AS b FROM ({SPANWISE})),
 a AS (SELECT count_if(r) AS "right", count(*) AS with_cands, count(*) AS total, count_if(r AND b) AS "both", count_if(r AND NOT b) AS system_only, count_if(b AND NOT r) AS baseline_only, count_if(NOT r AND NOT b) AS neither FROM m)
 SELECT "right"::BIGINT AS "right", with_cands, total, "both"::BIGINT AS "both", system_only::BIGINT AS system_only, baseline_only::BIGINT AS baseline_only, neither::BIGINT AS neither,
-  round("right" / with_cands, 6) AS "precision", round("right" / total, 6) AS recall, round(2 * ("right" / with_cands) * ("right" / total) / ("right" / with_cands + "right" / total), 6) AS f1 FROM a""")
+  round("right" / with_cands, 6) AS "precision", round("right" / total, 6) AS recall, round(2 * ("right" / with_cands) * ("right" / total) / nullif("right" / with_cands + "right" / total, 0), 6) AS f1 FROM a""")
 def baseline_agreement(s, d):
     rows = _logged(s, d).where("final_score is null or not isnan(final_score)")
     score = F.struct(F.coalesce("final_score", F.lit(-1e9).cast("float")), -F.col("cand_pos"), -F.col("log_id"))
