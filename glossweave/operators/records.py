@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossweave.operators import reports
+
 
 def with_gold_position(mentions: DataFrame, cands: str = "cands", gold: str = "gold") -> DataFrame:
     """Adds ``gold_pos``, the 1-based place of the gold id among the candidates, or -1."""
@@ -62,3 +64,22 @@ def grouped_by_document(mentions: DataFrame, doc: str, order: str) -> DataFrame:
     """One row a document with its mentions in order."""
     rest = [c for c in mentions.columns if c not in (doc, order)]
     return mentions.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct(order, *rest))).alias("mentions"))
+
+
+def training_pairs(positives: DataFrame, intervals: DataFrame, negatives: int, total: float, width: float) -> DataFrame:
+    """(entity, word, n, negative): every positive word of an entity with ``negatives``
+    words drawn from frequency intervals (word, lo, hi).
+
+    Draws are a hash of the row and the draw's number, so they repeat from run to run and
+    when a lost task is run again.
+    """
+    rows = positives.select("entity", "word", F.explode(F.sequence(F.lit(1), F.lit(negatives))).alias("n"))
+    share = F.pmod(F.xxhash64("entity", "word", "n"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    drawn = reports.drawn(rows.withColumn("at", share * F.lit(total)), intervals.withColumnRenamed("word", "negative"), "negative", "at", width)
+    return drawn.select("entity", "word", F.col("n").cast("bigint").alias("n"), "negative")
+
+
+def shuffled_epochs(df: DataFrame, key: str, times: int, seed: int = 0) -> DataFrame:
+    """A table ``times`` over, each epoch in an order of its own that repeats by seed."""
+    rows = df.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    return rows.orderBy("epoch", F.xxhash64(F.lit(seed), "epoch", key))

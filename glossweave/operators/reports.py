@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossweave.functions import text
+from glossweave.functions import text, vectors
 
 
 def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
@@ -98,3 +98,29 @@ def latest_checkpoint(files: DataFrame, name: str = "file") -> DataFrame:
     """The greatest number at the end of a file name."""
     number = F.nullif(F.regexp_extract(name, r"-(\d+)(?:\.\w+)?$", 1), F.lit("")).cast("bigint")
     return files.agg(F.max(number).alias("latest"))
+
+
+def prediction_report(preds: DataFrame, gold: DataFrame, threshold: float) -> DataFrame:
+    """Every span of a document with what became of it: ``tp``, ``fp`` or ``fn``.
+
+    ``preds`` carries ``matched`` (see ``metrics``) and ``score``; ``gold`` the best score
+    among the predictions that match it.
+    """
+    shown = preds.where(F.col("score") >= threshold).select("doc", "begin", "end", "entity", "score", F.when(F.col("matched"), "tp").otherwise("fp").alias("outcome"))
+    missed = gold.where(F.col("score") < threshold).select("doc", "begin", "end", "entity", "score", F.lit("fn").alias("outcome"))
+    return shown.unionByName(missed)
+
+
+def voter_report(voting: DataFrame) -> DataFrame:
+    """(doc, voters, weight, top): who votes in a document, the heaviest first."""
+    item = F.struct((-F.col("weight")).alias("w"), "cand")
+    lists = voting.where("weight > 0").groupBy("doc").agg(F.count("*").alias("voters"), F.sum("weight").alias("weight"), F.array_sort(F.collect_list(item)).alias("v"))
+    return lists.select("doc", "voters", "weight", F.transform("v", lambda x: x["cand"]).alias("cands"))
+
+
+def voter_products(winners: DataFrame, voting: DataFrame) -> DataFrame:
+    """(doc, span, cand, voter_span, voter, product): how every voter of another span
+    speaks for the winner of a span; made for the few documents of a report."""
+    other = voting.select("doc", F.col("span").alias("voter_span"), F.col("cand").alias("voter"), F.col("vec").alias("voter_vec"))
+    both = winners.select("doc", "span", "cand", "vec").join(other, "doc").where("span <> voter_span")
+    return both.select("doc", "span", "cand", "voter_span", "voter", vectors.dot(F.col("vec"), F.col("voter_vec")).alias("product"))

@@ -183,3 +183,39 @@ def ensemble(runs: list[DataFrame], on: list[str], score: str = "score") -> Data
     for r in runs[1:]:
         both = both.unionByName(r.select(*on, score))
     return both.groupBy(*on).agg(F.avg(score).alias(score))
+
+
+def bucket_bias(p: Column, bounds: list[float], biases: list[float]) -> Column:
+    """The learned bias of the bucket that a prior falls into; one bias more than bounds."""
+    assert len(biases) == len(bounds) + 1
+    return F.element_at(F.array(*(F.lit(float(b)) for b in biases)), text.bucket(p, bounds) + 1)
+
+
+def pairwise_votes(cands: DataFrame, top: int) -> DataFrame:
+    """(doc, span, cand, vote): the mean, over the ``top`` other spans that speak most for
+    a candidate, of its best product with one of the span's candidates; 0 without others.
+
+    A document's products stay one matrix in a task; no pair becomes a row.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in cands.schema.fields}
+
+    def vote(pdf: pd.DataFrame) -> pd.DataFrame:
+        span = pd.factorize(pdf["span"], sort=True)[0]
+        x = np.stack(pdf["vec"].to_numpy()).astype(float)
+        order = np.argsort(span, kind="stable")
+        begins = np.flatnonzero(np.r_[True, np.diff(span[order]) > 0])
+        best = np.maximum.reduceat(x @ x[order].T, begins, axis=1)
+        best[np.arange(len(x)), span] = -np.inf
+        take = min(top, best.shape[1] - 1)
+        votes = np.sort(best, axis=1)[:, ::-1][:, :take].mean(1) if take else np.zeros(len(x))
+        return pdf[["doc", "span", "cand"]].assign(vote=votes)
+
+    good = cands.where("vec is not null").select("doc", "span", "cand", "vec")
+    return good.groupBy("doc").applyInPandas(vote, f"doc {kind['doc']}, span {kind['span']}, cand {kind['cand']}, vote double")
+
+
+def margin_losses(positive: Column, negative: Column, margin: float = 0.1) -> dict[str, Column]:
+    """Losses of a pair of similarities: max-margin, and the logistic one of noise
+    contrast."""
+    logistic = lambda x: -F.ln(1 / (1 + F.exp(-x)))
+    return {"maxm": F.greatest(F.lit(0.0), F.lit(margin) - positive + negative), "nce": logistic(positive) + logistic(-negative)}

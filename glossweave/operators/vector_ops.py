@@ -63,3 +63,8 @@ def missing_words(neighbours: DataFrame, word_freq: DataFrame, least: int) -> Da
     """Words at least ``least`` times in an entity's page that are not among its nearest:
     (entity, word, tf) without (entity, word) of ``neighbours``."""
     return word_freq.where(F.col("tf") >= least).join(neighbours.select("entity", "word"), ["entity", "word"], "left_anti")
+
+
+def extension_rows(extension: DataFrame, base: DataFrame) -> DataFrame:
+    """Rows (id, row) of an extension matrix that the base map lacks, in row order."""
+    return extension.join(base.select("id"), "id", "left_anti").orderBy("row")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glossweave.functions import text, vectors
-from glossweave.operators import metrics, reports, scoring, vector_ops
+from glossweave.operators import metrics, records, reports, scoring, vector_ops
 from glossweave.plans import tables
 from glossweave.plans.tables import CANDIDATES, VECTOR_CANDIDATES, read, vector_candidates
 
@@ -239,3 +239,44 @@ def text_functions(s, d):
     t = F.col("text")
     rows = read(s, d, "documents").where("text is not null and not text like 'ß%'")
     return rows.select("doc_id", text.first_upper(t).alias("capital"), F.regexp_replace(t, "[^A-Za-z0-9]", "").alias("letters"), F.array_join(text.split_nonempty(t, " ,"), "|").alias("fields"), F.lower(t).alias("low"), F.size(text.alnum_words(t)).cast("bigint").alias("words"))
+
+
+@query(f"""
+WITH v AS (SELECT * FROM ({VECTOR_CANDIDATES}) WHERE local >= 0.3)
+SELECT doc, count(*) AS voters, count(*)::DOUBLE AS weight, list(cand ORDER BY cand) AS cands FROM v GROUP BY 1""")
+def voter_report(s, d):
+    return reports.voter_report(scoring.voters(vector_candidates(s, d), threshold=0.3))
+
+
+@query(f"""
+WITH v AS ({VECTOR_CANDIDATES}), w AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY doc, span ORDER BY local DESC, cand) = 1)
+SELECT w.doc, w.span, w.cand, v.span AS voter_span, v.cand AS voter, round({_dot('w.vec', 'v.vec')}, 6) AS product FROM w JOIN v ON v.doc = w.doc AND v.span <> w.span AND v.local >= 0.5""")
+def voter_products(s, d):
+    cands = vector_candidates(s, d)
+    out = reports.voter_products(scoring.voters(cands, top=1), scoring.voters(cands, threshold=0.5))
+    return out.withColumn("product", F.round("product", 6))
+
+
+@query(f"""
+WITH v AS ({VECTOR_CANDIDATES}),
+b AS (SELECT a.doc, a.span, a.cand, o.span AS os, max({_dot('a.vec', 'o.vec')}) AS m FROM v a JOIN v o ON o.doc = a.doc AND o.span <> a.span GROUP BY ALL),
+t AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY doc, span, cand ORDER BY m DESC) <= 3)
+SELECT doc, span, cand, round(avg(m), 6) AS vote FROM t GROUP BY ALL""")
+def pairwise_votes(s, d):
+    return scoring.pairwise_votes(vector_candidates(s, d), 3).withColumn("vote", F.round("vote", 6))
+
+
+@query(f"SELECT doc, span, cand, CASE WHEN p >= 0.5 THEN 0.3 WHEN p >= 0.3 THEN 0.2 WHEN p >= 0.25 THEN 0.1 ELSE -0.5 END::DOUBLE AS bias FROM ({VECTOR_CANDIDATES})")
+def prior_bucket_bias(s, d):
+    return vector_candidates(s, d).select("doc", "span", "cand", scoring.bucket_bias(F.col("p"), [0.25, 0.3, 0.5], [-0.5, 0.1, 0.2, 0.3]).alias("bias"))
+
+
+@query()
+def training_pairs(s, d):
+    """Each brand's part names as positive words, negatives drawn by their frequency."""
+    parts = read(s, d, "part")
+    words = parts.select(F.col("p_brand").alias("entity"), F.explode(F.split("p_name", " ")).alias("word")).distinct()
+    freq = parts.select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    intervals = reports.sample_intervals(freq, "word", "n", 0.6)
+    total = intervals.agg(F.max("hi")).collect()[0][0] or 1.0
+    return records.training_pairs(words, intervals, 5, total, max(total / 64, 1.0))

@@ -205,6 +205,15 @@ def doc_confusion(s, d):
     return metrics.confusion(predictions(s, d), tables.gold(s, d), 0.2)
 
 
+@query(f"""
+WITH {P}, {G}, {GSCORE}
+SELECT doc, "begin", "end", entity, score, CASE WHEN {WEAK} THEN 'tp' ELSE 'fp' END AS outcome FROM p WHERE score >= 0.2
+UNION ALL SELECT doc, "begin", "end", entity, score, 'fn' FROM gs WHERE score < 0.2""")
+def prediction_report(s, d):
+    preds, gold = predictions(s, d), tables.gold(s, d)
+    return reports.prediction_report(metrics.weak_matched(preds, gold), metrics.gold_scores(preds, gold), 0.2)
+
+
 def _f1_sql(by: str = "") -> str:
     group, head = (f"GROUP BY {by}", f"{by}, ") if by else ("", "")
     return f"""

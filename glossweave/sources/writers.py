@@ -85,3 +85,10 @@ def given_spans_xml(spans: DataFrame, doc: str = "doc") -> DataFrame:
     item = F.struct("start", F.format_string('<surfaceForm name="%s" offset="%d"/>', quoted(F.col("mention")), "start").alias("x"))
     lists = spans.groupBy(doc).agg(F.sort_array(F.collect_list(item)).alias("s"), F.max("text").alias("text"))
     return lists.select(doc, F.concat(F.lit('<annotation text="'), quoted(F.col("text")), F.lit('">'), F.array_join(F.transform("s", lambda x: x["x"]), ""), F.lit("</annotation>")).alias("xml"))
+
+
+def single_strings(tokens: DataFrame) -> DataFrame:
+    """(doc, text): the words (doc, pos, word) of a document in one string, for tokenisers
+    that take whole texts."""
+    lists = tokens.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("w"))
+    return lists.select("doc", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("text"))

@@ -170,3 +170,26 @@ def test_early_stop(spark):
     df = spark.createDataFrame([(i, s) for i, s in enumerate([1.0, 1.05, 1.2, 1.25, 1.29, 1.35])], "step int, score double")
     got = [r["since"] for r in metrics.since_improvement(df, "step", "score", 0.1).orderBy("step").collect()]
     assert got == [0, 1, 0, 1, 2, 0]
+
+
+def test_training_pairs_repeat_and_follow_frequency(spark):
+    freq = spark.createDataFrame([("a", 90), ("b", 10)], "word string, n int")
+    pos = spark.createDataFrame([(i, "w") for i in range(200)], "entity int, word string")
+    make = lambda: rows(records.training_pairs(pos, reports.sample_intervals(freq, "word", "n"), 5, 100.0, 10.0))
+    got = make()
+    assert got == make() and len(got) == 1000
+    assert 0.85 < sum(r[3] == "a" for r in got) / 1000 < 0.95
+
+
+def test_epochs_have_orders_of_their_own(spark):
+    df = spark.range(50)
+    got = [r["id"] for r in records.shuffled_epochs(df, "id", 2, 7).collect()]
+    assert sorted(got[:50]) == sorted(got[50:]) == list(range(50)) and got[:50] != got[50:]
+    assert got == [r["id"] for r in records.shuffled_epochs(df, "id", 2, 7).collect()]
+
+
+def test_losses(spark):
+    df = spark.createDataFrame([(0.5, 0.2), (0.1, 0.2)], "p double, n double")
+    out = df.select(*(c.alias(k) for k, c in scoring.margin_losses(F.col("p"), F.col("n")).items())).collect()
+    assert [round(r["maxm"], 9) for r in out] == [0.0, 0.2]
+    assert out[0]["nce"] == pytest.approx(np.log1p(np.exp(-0.5)) + np.log1p(np.exp(0.2)))

@@ -117,3 +117,8 @@ def test_files_tables_epochs(spark, put, tmp_path):
     samples = spark.createDataFrame([("el", "x", [1]), ("ed", "y", [2])], "mode string, dataset string, words array<int>")
     writers.write_samples(samples, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).where("mode = 'el'").count() == 1
+
+
+def test_single_strings(spark):
+    df = spark.createDataFrame([("d", 1, "b"), ("d", 0, "a")], "doc string, pos int, word string")
+    assert rows(writers.single_strings(df)) == [("d", "a b")]
