@@ -116,7 +116,7 @@ class Router:
 
 
 def learned_router(x: np.ndarray, parts: int, near: int = 10) -> Router:
-    near = min(near, len(x) - 1)
+    near = max(1, min(near, len(x) - 1))
     graph = neighbour_graph(x, near)
     label = balanced_parts(graph, x, parts)
     target = np.zeros((len(x), parts), np.float32)
@@ -125,6 +125,62 @@ def learned_router(x: np.ndarray, parts: int, near: int = 10) -> Router:
     return Router.fitted(x.astype(np.float32), target)
 
 
+def _log_shares(logits: np.ndarray) -> np.ndarray:
+    z = logits - logits.max(1, keepdims=True)
+    return z - np.log(np.exp(z).sum(1, keepdims=True))
+
+
+class Routes:
+    """Routers in one or two levels: the first tells the region, that of a region its part.
+
+    Two levels keep every network small and every part's share of the sample useful when
+    there are many parts.
+    """
+
+    def __init__(self, first: Router, regions: list[Router | None], begins: list[int]):
+        self.first, self.regions, self.begins = first, regions, begins
+
+    @classmethod
+    def fitted(cls, x: np.ndarray, parts: int, most_regions: int = 64) -> Routes:
+        if parts <= most_regions:
+            return cls(learned_router(x, parts), [None] * parts, list(range(parts + 1)))
+        regions = min(most_regions, math.isqrt(parts))
+        first = learned_router(x, regions)
+        home = first.logits(x).argmax(1)
+        routers: list[Router | None] = []
+        begins = [0]
+        for r in range(regions):
+            own = x[home == r]
+            # A region gets parts by its share of the sample, if that is enough to learn from.
+            n = max(1, round(parts * len(own) / len(x)))
+            n = n if len(own) >= 8 * n else max(1, len(own) // 8)
+            routers.append(learned_router(own, n) if n > 1 else None)
+            begins.append(begins[-1] + n)
+        return cls(first, routers, begins)
+
+    def best(self, x: np.ndarray, probes: int) -> np.ndarray:
+        """The ``probes`` most probable parts of every row, the most probable first; -1
+        where the regions asked have fewer."""
+        near = _log_shares(self.first.logits(x))
+        if all(r is None for r in self.regions):
+            return np.argsort(-near, axis=1, kind="stable")[:, :probes]
+        asked = np.argsort(-near, axis=1, kind="stable")[:, :probes]
+        out = np.full((len(x), probes), -1)
+        shares = np.full((len(x), probes), -np.inf)
+        for r, router in enumerate(self.regions):
+            rows = np.flatnonzero((asked == r).any(1))
+            if not len(rows):
+                continue
+            inner = _log_shares(router.logits(x[rows])) if router is not None else np.zeros((len(rows), 1))
+            parts = np.broadcast_to(np.arange(self.begins[r], self.begins[r + 1]), inner.shape)
+            every = np.concatenate([shares[rows], inner + near[rows, r : r + 1]], axis=1)
+            names = np.concatenate([out[rows], parts], axis=1)
+            top = np.argsort(-every, axis=1, kind="stable")[:, :probes]
+            shares[rows] = np.take_along_axis(every, top, axis=1)
+            out[rows] = np.take_along_axis(names, top, axis=1)
+        return out
+
+
 def _matrix(column, dim: int) -> np.ndarray:
     return pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(-1, dim)
 
@@ -143,8 +199,10 @@ def nearest(
     k: int = 3,
     probes: int = 5,
     part_rows: int = 1500,
-    most_parts: int = 256,
+    most_parts: int = 4096,
     sample_rows: int = 8000,
+    most_sample_rows: int = 65_536,
+    most_regions: int = 64,
     block_rows: int = 6000,
 ) -> DataFrame:
     """The ``k`` most similar other vectors of every vector, by cosine.
@@ -154,9 +212,11 @@ def nearest(
     count once, with the smallest vector.  Fewer than k + 1 vectors give fewer
     neighbours, an empty table none.  Result: (key, neighbour, similarity).
 
-    The router is fitted on the ``sample_rows`` vectors of smallest hash, a bounded
-    sample; every vector is indexed and every vector is a query, in its ``probes`` most
-    probable of about rows / ``part_rows`` parts (at most ``most_parts``).  Vectors that
+    The routers are fitted on the vectors of smallest hash, a bounded sample of
+    ``sample_rows`` or 16 for each part, ``most_sample_rows`` at most; every vector is
+    indexed and every vector is a query, in its ``probes`` most probable of about rows /
+    ``part_rows`` parts (at most ``most_parts``; over ``most_regions`` in two levels).
+    Vectors that
     are equal are searched once and get their neighbours back at the end, so copies don't
     fill a part; a part that is large all the same is compared in blocks of
     ``block_rows``, all blocks with all, each a task's bounded work.
@@ -175,7 +235,7 @@ def nearest(
     first_ones = Window.partitionBy("c1", "c2").orderBy("key")
     heads = cut.select("c1", "c2", "key").withColumn("r", F.row_number().over(first_ones)).where(F.col("r") <= k + 1)
     heads = heads.groupBy("c1", "c2").agg(F.min("key").alias("rep"), F.sort_array(F.collect_list("key")).alias("ids"))
-    by_rep = _search(classes.select("rep", "v"), kind, dim, k, probes, part_rows, most_parts, sample_rows, block_rows)
+    by_rep = _search(classes.select("rep", "v"), kind, dim, k, probes, part_rows, most_parts, sample_rows, most_sample_rows, most_regions, block_rows)
     # Back to all members: a class's candidates are its own heads and those of its neighbours.
     ids = heads.select("rep", "ids")
     of_near = by_rep.join(ids.withColumnsRenamed({"rep": "near", "ids": "near_ids"}), "near").select("rep", "sim", F.explode(F.slice("near_ids", 1, k)).alias("id"))
@@ -187,28 +247,27 @@ def nearest(
     return open_rows.select("key", F.explode(best).alias("o")).select("key", F.col("o.id").alias("neighbour"), F.col("o.sim").alias("similarity"))
 
 
-def _search(vectors: DataFrame, kind: str, dim: int, k: int, probes: int, part_rows: int, most_parts: int, sample_rows: int, block_rows: int) -> DataFrame:
+def _search(vectors: DataFrame, kind: str, dim: int, k: int, probes: int, part_rows: int, most_parts: int, sample_rows: int, most_sample_rows: int, most_regions: int, block_rows: int) -> DataFrame:
     """(rep, near, sim): the k nearest of every distinct vector."""
     table = checkpointed(vectors.select("rep", "v"))
     n = table.count()
     parts = max(1, min(most_parts, round(n / part_rows)))
-    router = None
+    routes = None
     if parts > 1:
-        taken = hash_sample(table, "rep", sample_rows).select("v").toArrow()
-        router = learned_router(_matrix(taken["v"].combine_chunks(), dim), parts)
+        taken = hash_sample(table, "rep", min(most_sample_rows, max(sample_rows, 16 * parts))).select("v").toArrow()
+        routes = Routes.fitted(_matrix(taken["v"].combine_chunks(), dim), parts, most_regions)
+        parts = routes.begins[-1]
     asked = min(probes, parts)
 
     def route(batches):
         for batch in batches:
             x = _matrix(batch.column(1), dim)
-            if router is None:
-                order = np.zeros((len(x), 1), np.int64)
-            else:
-                order = np.argsort(-router.logits(x), axis=1, kind="stable")[:, :asked]
-            at = pa.array(np.repeat(np.arange(len(x)), order.shape[1]))
+            order = np.zeros((len(x), 1), np.int64) if routes is None else routes.best(x, asked)
             home = np.zeros(order.shape, bool)
             home[:, 0] = True
-            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(order.ravel()), pa.array(home.ravel())], names=["rep", "v", "part", "home"])
+            row, rank = np.nonzero(order >= 0)
+            at = pa.array(row)
+            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(order[row, rank]), pa.array(home[row, rank])], names=["rep", "v", "part", "home"])
 
     routed = table.mapInArrow(route, f"rep {kind}, v array<float>, part bigint, home boolean")
     # Sizes of the parts, at most ``most_parts`` rows, tell how many blocks they need.

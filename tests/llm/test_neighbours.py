@@ -41,6 +41,29 @@ def test_parts_and_blocks_keep_recall(spark):
     assert len(got & want) / len(want) > 0.9
 
 
+def test_two_levels_keep_recall(spark):
+    x = data(2400, 600, 5)
+    want = brute(x.astype(np.float32).astype(float), 3)
+    # Unrelated vectors have no near neighbours, so all three take more of the 30 parts ...
+    got = run(spark, x, k=3, part_rows=60, probes=10, sample_rows=1200, most_regions=5)
+    assert len(got) == len(want)
+    assert len(got & want) / len(want) > 0.9
+    # ... while truly similar ones are found with the usual five.
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = {(a, b) for a, b in want if u[a] @ u[b] > 0.9}
+    got = run(spark, x, k=3, part_rows=60, probes=5, sample_rows=1200, most_regions=5)
+    assert len(got & near) / len(near) > 0.95
+
+
+def test_routes_name_each_part_once():
+    x = data(900, 0).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    routes = neighbours.Routes.fitted(x, 30, 6)
+    best = routes.best(x, 5)
+    assert best.max() < routes.begins[-1] and all(len(set(r)) == 5 for r in best.tolist())
+    assert len(np.unique(best[:, 0])) > 15
+
+
 def test_few_rows(spark):
     assert run(spark, np.zeros((0, 16))) == set()
     one = np.ones((1, 16))
