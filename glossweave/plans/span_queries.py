@@ -103,7 +103,7 @@ def bio_to_spans(s, d):
 SELECT doc, "begin", "end", entity, words[greatest("begin" - 100, 0) + 1 : "begin"] AS left_words, words["end" + 1 : "end" + 100] AS right_words
 FROM (SELECT DISTINCT * FROM ({GOLD})) JOIN ({SAMPLES}) s USING (doc) WHERE s.words IS NOT NULL""")
 def context_window(s, d):
-    rows = tables.gold(s, d).distinct().join(tables.samples(s, d).select("doc", "words"), "doc").where("words is not null")
+    rows = tables.gold(s, d).distinct().join(tables.samples(s, d, "words").select("doc", "words"), "doc").where("words is not null")
     left, right = spans.contexts(F.col("words"), F.col("begin"), F.col("end"), 100)
     return rows.select("doc", "begin", "end", "entity", left.alias("left_words"), right.alias("right_words"))
 
@@ -113,7 +113,7 @@ WITH r AS (SELECT doc, "begin", "end", entity, list_filter(words[1 : "begin"], l
 FROM (SELECT DISTINCT * FROM ({GOLD})) JOIN ({SAMPLES}) s USING (doc) WHERE s.words IS NOT NULL)
 SELECT doc, "begin", "end", entity, l[greatest(len(l) - 10, 0) + 1 :] AS left_words, r[1 : 10] AS right_words FROM r""")
 def packed_context(s, d):
-    rows = tables.gold(s, d).distinct().join(tables.samples(s, d).select("doc", "words"), "doc").where("words is not null")
+    rows = tables.gold(s, d).distinct().join(tables.samples(s, d, "words").select("doc", "words"), "doc").where("words is not null")
     left, right = spans.packed_context(F.col("words"), F.col("begin"), F.col("end"), lambda w: w != 0, 10)
     return rows.select("doc", "begin", "end", "entity", left.alias("left_words"), right.alias("right_words"))
 

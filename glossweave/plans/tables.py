@@ -31,9 +31,13 @@ ANNOTATIONS = "SELECT DISTINCT annotation_id, doc, mention, wikiName, m_offset,
 _SAMPLE = ["chunk_id", "sample_mode", "pass_no", "words", "begin_spans", "end_spans", "cand_entities", "cand_entities_scores", "ground_truth", "begin_gm", "end_gm", "encoded_at"]
 
 
-def samples(spark: SparkSession, d: str) -> DataFrame:
-    """Encoded samples, redelivered rows once, with ``doc`` naming the chunk's pass."""
-    rows = read(spark, d, "encoded_samples").select(*_SAMPLE).distinct()
+def samples(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Encoded samples, redelivered rows once, with ``doc`` naming the chunk's pass.
+
+    A pass is encoded once, so its key and time and the asked columns tell rows apart, and
+    only those are read and shuffled.
+    """
+    rows = read(spark, d, "encoded_samples").select("chunk_id", "sample_mode", "pass_no", "encoded_at", *columns).distinct()
     return rows.withColumn("doc", F.concat_ws("/", "chunk_id", "sample_mode", F.col("pass_no").cast("string")))
 
 
@@ -43,7 +47,7 @@ SAMPLES = f"SELECT *, concat_ws('/', chunk_id, sample_mode, pass_no::VARCHAR) AS
 def span_candidates(spark: SparkSession, d: str) -> DataFrame:
     """(doc, span, begin, end, pos, entity, score) of all samples."""
     at = lambda c, i: F.get(c, i)
-    rows = samples(spark, d).select("doc", "begin_spans", "end_spans", "cand_entities", "cand_entities_scores")
+    rows = samples(spark, d, "begin_spans", "end_spans", "cand_entities", "cand_entities_scores")
     spans = rows.select("doc", F.explode(F.transform("begin_spans", lambda b, j: F.struct(j.alias("span"), b.alias("begin"), at("end_spans", j).alias("end"), at("cand_entities", j).alias("es"), at("cand_entities_scores", j).alias("ss")))).alias("s")).select("doc", "s.*")
     cands = spans.select("doc", "span", "begin", "end", "ss", F.posexplode("es").alias("pos", "entity"))
     return cands.select("doc", F.col("span").cast("bigint").alias("span"), "begin", "end", F.col("pos").cast("bigint").alias("pos"), "entity", F.get("ss", F.col("pos")).cast("double").alias("score"))
@@ -59,7 +63,7 @@ FROM (SELECT *, unnest(range(1, len(ents) + 1)) AS p FROM (
 
 def gold(spark: SparkSession, d: str) -> DataFrame:
     """(doc, begin, end, entity) of all samples' gold mentions."""
-    rows = samples(spark, d).select("doc", F.explode(F.transform("ground_truth", lambda g, j: F.struct(F.get("begin_gm", j).alias("begin"), F.get("end_gm", j).alias("end"), g.alias("entity")))).alias("g"))
+    rows = samples(spark, d, "ground_truth", "begin_gm", "end_gm").select("doc", F.explode(F.transform("ground_truth", lambda g, j: F.struct(F.get("begin_gm", j).alias("begin"), F.get("end_gm", j).alias("end"), g.alias("entity")))).alias("g"))
     return rows.select("doc", "g.*").where("begin is not null and end is not null and entity is not null")
 
 
