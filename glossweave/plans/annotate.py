@@ -21,7 +21,12 @@ def mention_dictionary(links: DataFrame, names: DataFrame, k: int = 30) -> DataF
 def annotate(docs: DataFrame, key: str, body: str, pem: DataFrame, threshold: float = 0.05) -> DataFrame:
     """(doc, begin, end, entity, score): spans that are mentions, the likeliest entity of
     each, the best spans that don't overlap, those above the threshold."""
-    chunked = spans.chunks(docs.where(F.col(body).isNotNull()), key, body, by="document")
+    wanted = docs.where(F.col(body).isNotNull()).select(key, body)
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    # A scan of fewer pieces than cores, as of one small file, would leave most of them idle.
+    if wanted.rdd.getNumPartitions() < cores:
+        wanted = wanted.repartition(cores, key)
+    chunked = spans.chunks(wanted, key, body, by="document")
     found = spans.spotted(chunked, pem.select("mention"))
     best = scoring.prior_score(pem).where("rank = 1").select(F.col("mention").alias("span"), "entity", "score")
     scored = found.join(best, "span").select(F.col("key").alias("doc"), "begin", "end", "entity", "score")

@@ -191,7 +191,11 @@ def best_run_per_group(s, d):
     return reports.best_runs(read(s, d, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_totalprice", "o_orderkey")
 
 
-@query()
+@query("""
+WITH RECURSIVE d AS (SELECT step, score, row_number() OVER (ORDER BY step) AS n FROM (SELECT ts::DATE AS step, avg(value) AS score FROM events GROUP BY 1)),
+r AS (SELECT n, step, score, score AS best, 0::BIGINT AS since FROM d WHERE n = 1
+  UNION ALL SELECT d.n, d.step, d.score, CASE WHEN d.score >= r.best + 0.1 THEN d.score ELSE r.best END, CASE WHEN d.score >= r.best + 0.1 THEN 0 ELSE r.since + 1 END FROM r JOIN d ON d.n = r.n + 1)
+SELECT step, round(score, 6) AS score, round(best, 6) AS best, since FROM r""")
 def early_stop_report(s, d):
     days = read(s, d, "events").groupBy(F.to_date("ts").alias("day")).agg(F.avg("value").alias("score"))
     return metrics.since_improvement(days, "day", "score", 0.1).withColumns({"score": F.round("score", 6), "best": F.round("best", 6)})

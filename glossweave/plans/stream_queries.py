@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from glossweave.functions import text
+from glossweave.plans import span_queries
 from glossweave.plans.annotate import annotate, mention_dictionary
 from glossweave.plans.tables import ANNOTATIONS, annotations, read
 from glossweave.streaming import stream
@@ -30,7 +31,7 @@ def _source(s, d, name):
     return stream.file_stream(s, f"{d}/{name}.parquet*", read(s, d, name).schema)
 
 
-@query()
+@query(span_queries.SQL["annotate_corpus"])
 def stream_annotate(s, d):
     """Documents as a stream of requests, annotated batch by batch with a dictionary that
     is read once."""
