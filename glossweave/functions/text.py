@@ -7,11 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Common words that carry no topic.
+#: Common words that carry no topic, the 331 distinct ones of the reference's list.
 STOP_WORDS = (
-    "a about after all also an and any are as at be been before but by can could did do does for from had has have he her him his how i if in "
-    "into is it its like many may me more most much must my no not now of on only or other our out over she should so some such than that the "
-    "their them then there these they this those to too under up upon us was we were what when where which while who whom why will with would you your"
+    "a about above across after afterwards again against all almost alone along already also although always am among amongst amoungst amount an "
+    "and another any anyhow anyone anything anyway anywhere are around as at back be became because become becomes becoming been before "
+    "beforehand behind being below beside besides best between beyond both bottom but by call can cannot cant co con could couldnt cry de "
+    "describe detail did do done dont down due during each eg eight either eleven else elsewhere empty end enough etc even ever every everyone "
+    "everything everywhere except few fifteen fify fill find fire first five for former formerly forty found four from front full further get "
+    "give go had has hasnt have he hence her here hereafter hereby herein hereupon hers herself him himself his how however hundred i ie if in "
+    "inc including indeed interest into is it its itself just keep known last later latter latterly least less ltd made many may me meanwhile "
+    "might mill mine more moreover most mostly move much must my myself name namely neither never nevertheless new next nine no nobody none "
+    "noone nor not nothing now nowhere of off often on once one only onto or other others otherwise our ours ourselves out over own part per "
+    "perhaps please put rather re same see seem seemed seeming seems serious several she should show side since sincere six sixty so some "
+    "somehow someone something sometime sometimes somewhere st still such system take ten than that the their them themselves then thence there "
+    "thereafter thereby therefore therein thereupon these they thick thin third this those though three through throughout thru thus to together "
+    "too top toward towards twelve twenty two un under until up upon us used using very via was we well were what whatever when whence whenever "
+    "where whereafter whereas whereby wherein whereupon wherever whether which while whither who whoever whole whom whose why will with within "
+    "without would year years yet you your yours yourself yourselves"
 ).split()
 
 

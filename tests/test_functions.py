@@ -37,6 +37,13 @@ def test_strings(spark):
     assert one(spark, text.title_case, None) is None
 
 
+def test_stop_words_are_those_of_the_reference(spark):
+    words = ["between", "Although", "during", "yourselves", "fify", "using", "does", "like", "river"]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    assert [r["w"] for r in df.where(text.is_content_word(F.col("w"))).collect()] == ["does", "like", "river"]
+    assert len(set(text.STOP_WORDS)) == len(text.STOP_WORDS) == 331
+
+
 @pytest.mark.parametrize("whole,part,want", [("John Smith", "Smith", True), ("John Smith", "Smi", False), ("John Smith", "John", True), ("Smith", "Smith", False), ("Johnson-Lee", "Lee", True), ("Leeds Lee", "Lee", True), ("", "a", False)])
 def test_word_boundary(spark, whole, part, want):
     df = spark.createDataFrame([(whole, part)], "w string, p string")
