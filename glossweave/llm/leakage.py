@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossweave.llm._arrow import ranges
+from glossweave.llm._spark import checkpointed
 from glossweave.llm.language import code_points, portions, without_markup
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -122,18 +123,47 @@ def letter_runs(letters: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def compiled(texts: list[str], m: int = 4, run: int = 12) -> Patterns:
-    """Patterns of the items' texts; an item of fewer than ``m`` words has none."""
+def runs_of(words: Words, n_texts: int, m: int, run: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Hashes of every text's runs of ``m`` words and of its runs of ``run`` letters."""
+    count = np.bincount(words.text, minlength=n_texts)
+    first = np.cumsum(count) - count
+    edges = np.concatenate([words.letter_at, [len(words.letters)]])
+    by_words = [letter_runs(words.hash[a : a + n], m) for a, n in zip(first, count, strict=True)]
+    return by_words, [letter_runs(words.letters[edges[a] : edges[a + n]], run) for a, n in zip(first, count, strict=True)]
+
+
+@dataclass(frozen=True)
+class Held:
+    """In how many items runs occur; runs that aren't listed occur in one."""
+
+    hash: np.ndarray  # sorted
+    items: np.ndarray
+
+    def of(self, runs: np.ndarray) -> np.ndarray:
+        if not len(self.hash):
+            return np.ones(len(runs), np.int64)
+        at = np.minimum(np.searchsorted(self.hash, runs), len(self.hash) - 1)
+        return np.where(self.hash[at] == runs, self.items[at], 1)
+
+
+def held_by(item_runs: list[np.ndarray]) -> Held:
+    known, held = np.unique(np.concatenate([np.unique(r) for r in item_runs]) if item_runs else np.zeros(0, np.uint64), return_counts=True)
+    return Held(known[held > 1], held[held > 1])
+
+
+def compiled(texts: list[str], m: int = 4, run: int = 12, held: tuple[Held, Held] | None = None) -> Patterns:
+    """Patterns of the items' texts; an item of fewer than ``m`` words has none.
+
+    ``held`` tells in how many items the runs of words and of letters occur, where these
+    texts are only some of the items.
+    """
     words = words_of(texts)
     owner, h = words.text, words.hash
     vocabulary = np.unique(h)
     number = np.searchsorted(vocabulary, h)
-    count = np.bincount(owner, minlength=len(texts))
-    first = np.cumsum(count) - count
-    edges = np.concatenate([words.letter_at, [len(words.letters)]])
-    item_runs = [letter_runs(words.letters[edges[a] : edges[a + n]], run) for a, n in zip(first, count, strict=True)]
-    known, held = np.unique(np.concatenate([np.unique(r) for r in item_runs]) if item_runs else np.zeros(0, np.uint64), return_counts=True)
-    runs = [(r, 1.0 / held[np.searchsorted(known, r)]) for r in item_runs]
+    word_runs, item_runs = runs_of(words, len(texts), m, run)
+    held_words, held_letters = held or (held_by(word_runs), held_by(item_runs))
+    runs = [(r, 1.0 / held_letters.of(r)) for r in item_runs]
     items = [number[owner == i] for i in range(len(texts))]
     rows, item, at = [], [], []
     for i, w in enumerate(items):
@@ -158,9 +188,8 @@ def compiled(texts: list[str], m: int = 4, run: int = 12) -> Patterns:
         np.minimum.at(shift, np.searchsorted(blocks, all_blocks[j]), m - 2 - j)
     last = np.searchsorted(blocks, all_blocks[-1]) if len(grams) else np.zeros(0, np.int64)
     bucket = np.searchsorted(last, np.arange(len(blocks) + 1))
-    pattern = np.cumsum(new) - 1
-    held = np.bincount(np.unique(pattern * max(len(texts), 1) + item) // max(len(texts), 1), minlength=len(grams))
-    weight = 1.0 / np.maximum(held[pattern], 1)
+    each = np.concatenate(word_runs) if word_runs else np.zeros(0, np.uint64)
+    weight = 1.0 / held_words.of(each[order])
     total = np.bincount(item, weights=weight, minlength=len(texts))
     return Patterns(m, vocabulary, items, shift, blocks, bucket, grams, post_start, item, at, weight, total, runs)
 
@@ -285,30 +314,66 @@ def leaked(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     texts carry nothing; items of null or fewer than ``m`` words are never found; equal
     documents and equal items are reported each by its key, repeated rows repeatedly.
 
-    The documents are read once for every ``items_a_pass`` items and nothing is shuffled:
+    The documents are read once for every ``items_a_pass`` items and none is shuffled:
     the items, held-out material of limited size, go to the tasks in passes of limited
-    size, whole documents are searched where they are read.
+    size, whole documents are searched where they are read.  With more than one pass, the
+    items that hold a run are counted over all items first.
     """
     kind, item_kind = df.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     wanted = items.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("item"), F.col(item_text).alias("text"))
     passes = max(1, -(-wanted.count() // items_a_pass))
     docs = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
+    own_pass = F.pmod(F.xxhash64("item", "text"), F.lit(passes))
+    counts = _shared_runs(wanted.select(own_pass.cast("bigint").alias("pass"), "text"), m) if passes > 1 else None
     out = None
     for number in range(passes):
-        own = wanted.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == number).orderBy("item", "text").toPandas()
+        own = wanted.where(own_pass == number).orderBy("item", "text").toPandas()
         names = pa.Array.from_pandas(own["item"])
-        found = docs.mapInArrow(_search(names, list(own["text"]), m, least), f"key {kind}, item {item_kind}, share double")
+        found = docs.mapInArrow(_search(names, list(own["text"]), m, least, counts and _held(counts(number))), f"key {kind}, item {item_kind}, share double")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _search(names: pa.Array, item_texts: list[str], m: int, least: float):
+def _shared_runs(items: DataFrame, m: int, run: int = 12) -> Callable[[int], DataFrame]:
+    """For a pass, (letters, hash, held) of its runs that more than one of all items hold.
+
+    ``items`` has (pass, text).  What one pass's items hold is as limited as these are.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            passes, texts = batch.column(0), batch.column(1).to_pylist()
+            for first, some in portions(texts):
+                for letters, runs in enumerate(runs_of(words_of(some), len(some), m, run)):
+                    distinct = [np.unique(r) for r in runs]
+                    owner = np.repeat(np.arange(len(some)) + first, [len(r) for r in distinct])
+                    hashes = np.concatenate([np.zeros(0, np.uint64), *distinct]).view(np.int64)
+                    yield pa.record_batch([passes.take(pa.array(owner, pa.int64())), pa.array(np.full(len(hashes), letters == 1)), pa.array(hashes)], names=["pass", "letters", "hash"])
+
+    runs = items.mapInArrow(listed, "pass bigint, letters boolean, hash bigint")
+    counted = checkpointed(runs.groupBy("letters", "hash").agg(F.count("*").alias("held"), F.collect_set("pass").alias("passes")).where("held > 1"))
+    return lambda number: counted.where(F.array_contains("passes", F.lit(number).cast("bigint"))).select("letters", "hash", "held")
+
+
+def _held(shared: DataFrame) -> tuple[Held, Held]:
+    """The counts of the runs of words and of letters, by ascending hash."""
+    rows = shared.toPandas()
+    out = []
+    for letters in (False, True):
+        some = rows[rows["letters"] == letters]
+        hashes = some["hash"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(hashes)
+        out.append(Held(hashes[order], some["held"].to_numpy(np.int64)[order]))
+    return out[0], out[1]
+
+
+def _search(names: pa.Array, item_texts: list[str], m: int, least: float, held: tuple[Held, Held] | None = None):
     made: list[Patterns] = []
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not made:
-                made.append(compiled(item_texts, m))
+                made.append(compiled(item_texts, m, held=held))
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for first, some in portions(texts):
                 t, i, share = leaks(some, made[0], least)

@@ -56,6 +56,24 @@ def test_found_and_not_found(spark):
         assert len(out) == len(want)
 
 
+def test_passes_do_not_change_shares(spark):
+    rng = random.Random(21)
+    word = lambda: rng.choice(WORDS)
+    stock = [word() for _ in range(26)]
+    # Every item quotes the stock text, and that is all most documents share with it.
+    texts = [" ".join([*(word() for _ in range(30)), *stock, *(word() for _ in range(14))]) for _ in range(12)]
+    broken = re.sub(r"(\w{4})(?=\w\w)", lambda m: m[0] + (" " if rng.random() < 0.4 else ""), " ".join(stock))
+    docs = [" ".join([*(word() for _ in range(40)), *stock]), " ".join(word() for _ in range(40)) + " " + broken, " ".join(texts[4].split()[:40]), texts[7]]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc bigint, text string")
+    items = spark.createDataFrame([*enumerate(texts), (100, texts[2])], "item bigint, text string")
+    got = []
+    for a_pass in (20_000, 5, 1):
+        out = leakage.leaked(df, "doc", "text", items, "item", "text", items_a_pass=a_pass).collect()
+        got.append(sorted((r["key"], r["item"], round(r["share"], 9)) for r in out))
+    assert {(d, i) for d, i, _ in got[0]} == {(2, 4), (3, 7)}
+    assert got[1] == got[0] and got[2] == got[0]
+
+
 def test_search_equals_scan():
     p = leakage.compiled([" ".join(passage(30)) for _ in range(40)], 4)
     rng = np.random.default_rng(0)
