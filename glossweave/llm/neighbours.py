@@ -202,7 +202,7 @@ def nearest(
     most_parts: int = 4096,
     sample_rows: int = 8000,
     most_sample_rows: int = 65_536,
-    most_regions: int = 64,
+    most_regions: int = 512,
     block_rows: int = 6000,
 ) -> DataFrame:
     """The ``k`` most similar other vectors of every vector, by cosine.
@@ -213,9 +213,10 @@ def nearest(
     neighbours, an empty table none.  Result: (key, neighbour, similarity).
 
     The routers are fitted on the vectors of smallest hash, a bounded sample of
-    ``sample_rows`` or 16 for each part, ``most_sample_rows`` at most; every vector is
+    ``sample_rows`` or 84 for each part, ``most_sample_rows`` at most; every vector is
     indexed and every vector is a query, in its ``probes`` most probable of about rows /
-    ``part_rows`` parts (at most ``most_parts``; over ``most_regions`` in two levels).
+    ``part_rows`` parts (at most ``most_parts``; over ``most_regions`` in two levels), or
+    in half the root of the number of parts, if that is more.
     Vectors that
     are equal are searched once and get their neighbours back at the end, so copies don't
     fill a part; a part that is large all the same is compared in blocks of
@@ -254,10 +255,10 @@ def _search(vectors: DataFrame, kind: str, dim: int, k: int, probes: int, part_r
     parts = max(1, min(most_parts, round(n / part_rows)))
     routes = None
     if parts > 1:
-        taken = hash_sample(table, "rep", min(most_sample_rows, max(sample_rows, 16 * parts))).select("v").toArrow()
+        taken = hash_sample(table, "rep", min(most_sample_rows, max(sample_rows, 84 * parts))).select("v").toArrow()
         routes = Routes.fitted(_matrix(taken["v"].combine_chunks(), dim), parts, most_regions)
         parts = routes.begins[-1]
-    asked = min(probes, parts)
+    asked = min(max(probes, math.ceil(math.sqrt(parts) / 2)), parts)
 
     def route(batches):
         for batch in batches:

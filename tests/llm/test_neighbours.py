@@ -76,3 +76,19 @@ def test_balanced_parts():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     label = neighbours.balanced_parts(neighbours.neighbour_graph(x, 5), x, 6)
     assert np.bincount(label, minlength=6).max() <= 110
+
+
+def test_recall_with_many_parts(spark):
+    rng = np.random.default_rng(12)
+    x = np.repeat(rng.normal(size=(4000, 32)), 3, axis=0) + rng.normal(size=(12_000, 32)) * 0.3
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<float>")
+    found = neighbours.nearest(df, "id", "v", dim=32, k=2, part_rows=30)
+    got = {(r["key"], r["neighbour"]) for r in found.where("similarity >= 0.9").collect()}
+    want = set()
+    for a in range(0, len(x), 1000):
+        s = x[a : a + 1000] @ x.T
+        s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
+        near = np.argpartition(-s, 1, axis=1)[:, :2]
+        want |= {(a + i, int(j)) for i, j in zip(*np.nonzero(s >= 0.9)) if j in near[i]}
+    assert len(got & want) >= 0.98 * len(want) > 4000
