@@ -182,27 +182,66 @@ def line_languages(texts: list[str], profiles: Profiles, window: int = 8, with_v
     return (text_of_line, line_no, n_words, lang, share, votes)[: 5 + with_votes]
 
 
-def learned(samples: DataFrame, labelled: DataFrame, text: str, lang: str, key: str, sample_rows: int = 3000, agree: float = 0.9, dim: int = 8192, seed: int = 17) -> Profiles:
-    """Profiles of the languages of ``samples``, which must be few and known.
+def trigram_counts(df: DataFrame, lang: str, text: str) -> DataFrame:
+    """(lang, gram, n): how often every trigram occurs in the texts of each language; at
+    most 32**3 rows a language, summed in the tasks first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            by_lang: dict[str, list[str]] = {}
+            for n, t in zip(langs, batch.column(1).to_pylist(), strict=True):
+                by_lang.setdefault(n, []).append(t)
+            for n, texts in by_lang.items():
+                for _, some in portions(texts):
+                    sums[n] = sums.get(n, 0) + counted(some)
+        for n, c in sums.items():
+            at = np.flatnonzero(c)
+            yield pa.record_batch([pa.array([n] * len(at), pa.string()), pa.array(at), pa.array(c[at].astype(np.int64))], names=["lang", "gram", "n"])
+
+    rows = df.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    return rows.mapInArrow(count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def _as_matrix(counts: DataFrame, langs: tuple[str, ...] | None = None) -> tuple[tuple[str, ...], np.ndarray]:
+    table = counts.toArrow()
+    names = table["lang"].to_pylist()
+    langs = langs or tuple(sorted(set(names)))
+    number = {n: i for i, n in enumerate(langs)}
+    out = np.zeros((len(langs), LETTERS**3))
+    np.add.at(out, (np.array([number[n] for n in names], np.int64), table["gram"].to_numpy()), table["n"].to_numpy())
+    return langs, out
+
+
+def learned(samples: DataFrame, labelled: DataFrame, text: str, lang: str, sample_rows: int = 3000, agree: float = 0.9, dim: int = 8192, seed: int = 17) -> Profiles:
+    """Profiles of the languages of ``samples``, all of which count.
 
     They are refined on a bounded sample of ``labelled`` documents: of the
-    ``sample_rows`` whose keys have the smallest hashes, the lines of at least 8 words
-    that the first profiles give, by a share of ``agree``, the language of the label.
+    ``sample_rows`` distinct ones whose content has the smallest hashes, the lines of at
+    least 8 words that the first profiles give, by a share of ``agree``, the language of
+    the label.  Only trigram counts come to the driver, at most 32**3 for a language.
     """
-    few = samples.where(f"{text} is not null and {lang} is not null").select(lang, text).limit(10 * sample_rows).collect()
-    langs = tuple(sorted({r[0] for r in few}))
-    first = fitted(np.stack([counted([r[1] for r in few if r[0] == n]) for n in langs]), langs, dim, seed)
-    named = labelled.where(F.col(text).isNotNull()).select(label_language(F.col(lang)).alias("named"), F.col(text).alias("text"), F.col(key).alias("key"))
-    rows = hash_sample(named.where(F.col("named").isin(*langs)), "key", sample_rows).collect()
-    if not rows:
-        return first
-    lines = [r["text"].split("\n") for r in rows]
-    of, no, words, got, share = line_languages([r["text"] for r in rows], first)
-    chosen: list[list[str]] = [[r[1] for r in few if r[0] == n] for n in langs]
-    for t, n, w, g, s in zip(of, no, words, got, share, strict=True):
-        if w >= 8 and g >= 0 and s >= agree and langs[g] == rows[t]["named"]:
-            chosen[g].append(lines[t][n])
-    return fitted(np.stack([counted(c) for c in chosen]), langs, dim, seed)
+    langs, base = _as_matrix(trigram_counts(samples, lang, text))
+    if not langs:
+        raise ValueError("no samples of known language")
+    first = fitted(base, langs, dim, seed)
+    named = labelled.select(label_language(F.col(lang)).alias("lang"), F.col(text).alias("text"))
+    rows = hash_sample(named.where(F.col("text").isNotNull() & F.col("lang").isin(*langs)), sample_rows)
+    # The sample lies in one piece; its judging is spread again.
+    spread = rows.repartition(max(1, min(16, sample_rows // 100)), F.xxhash64("text"))
+
+    def confirmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for begin, some in portions(texts):
+                of, no, words, got, share = line_languages(some, first)
+                lines = [t.split("\n") for t in some]
+                good = [(langs[g], lines[t][n]) for t, n, w, g, s in zip(of, no, words, got, share, strict=True) if w >= 8 and g >= 0 and s >= agree and langs[g] == names[begin + t]]
+                yield pa.record_batch([pa.array([x for x, _ in good], pa.string()), pa.array([y for _, y in good], pa.string())], names=["lang", "text"])
+
+    _, more = _as_matrix(trigram_counts(spread.mapInArrow(confirmed, "lang string, text string"), "lang", "text"), langs)
+    return fitted(base + more, langs, dim, seed)
 
 
 def segment_languages(df: DataFrame, key: str, text: str, profiles: Profiles, keep: list[str] | None = None, window: int = 8) -> DataFrame:

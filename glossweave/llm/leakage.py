@@ -1,41 +1,58 @@
 """Documents that carry passages of held-out evaluation items.
 
-Texts are compared as words without case, accents, punctuation and markup.  The patterns
-are all runs of ``m`` consecutive words of the items.  They are searched as by Wu and
-Manber: a table tells for every block of two words how far the window may move on before
-a pattern can end there; where it may not, the block's bucket selects the patterns that
-end in it, and comparison of all words confirms an occurrence.  Documents are cut into
-stretches that overlap by ``m - 1`` words, and the windows of all stretches of a batch
-move in lockstep, so that one numpy step moves thousands of windows.
+Texts are compared as words without case, accents, punctuation and markup; letters of
+scripts that are written without spaces are words of their own.  The patterns are all runs
+of ``m`` consecutive words of the items.  They are searched as by Wu and Manber: a table
+tells for every block of two words how far the window may move on before a pattern can end
+there; where it may not, the block's bucket selects the patterns that end in it, and
+comparison of all words confirms an occurrence.  Documents are cut into stretches that
+overlap by ``m - 1`` words, and the windows of all stretches of a batch move in lockstep,
+so that one numpy step moves thousands of windows.  The occurrences of an item's patterns
+are then put in order: a document carries the item if they cover three fifths of its words
+in one or two passages.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glossweave.llm._arrow import ranges
-from glossweave.llm._spark import checkpointed
+from glossweave.llm._spark import once_a_worker
 from glossweave.llm.language import code_points, portions, without_markup
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
+#: First and last code points of scripts written without spaces between words
+#: (Thai and Lao, Tibetan, Burmese, Khmer, Kana, Han and its extensions, half-width Kana).
+UNSPACED = ((0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x20000, 0x323AF))
+
 
 @lru_cache(maxsize=1)
 def _folded() -> np.ndarray:
-    """Letters and digits below 0x3000 without case and accents; 0 for the rest."""
-    table = np.zeros(0x3000, np.uint32)
-    for cp in range(0x3000):
-        if chr(cp).isalnum():
-            table[cp] = ord(unicodedata.normalize("NFKD", chr(cp).lower())[:1])
+    """Letters and digits below 0x10000 without case and accents; 0 for the rest, and 1
+    for characters that are not there for the reader (soft hyphens, joiners, marks)."""
+    table = np.zeros(0x10000, np.uint32)
+    for cp in range(0x10000):
+        ch = chr(cp)
+        kind = unicodedata.category(ch)
+        if kind[0] in "LN":
+            base = unicodedata.normalize("NFKD", ch.lower())
+            accented = len(base) > 1 and all(unicodedata.combining(c) for c in base[1:])
+            table[cp] = ord(base) if len(base) == 1 else ord(base[0]) if accented else ord(ch.lower()[0])
+        elif kind == "Cf" or 0x300 <= cp <= 0x36F:
+            table[cp] = 1
     return table
 
 
@@ -46,7 +63,7 @@ def _powers() -> np.ndarray:
 
 
 #: Lead characters of letters whose UTF-8 bytes were read as Latin-1.
-_BROKEN = re.compile("[\u00c2-\u00c5][\u0080-\u00bf\u0152\u0153\u0160\u0161\u0178\u017d\u017e\u0192\u02c6\u02dc\u2013-\u203a\u20ac\u2122]")
+_BROKEN = re.compile("[Â-Å][\u0080-¿ŒœŠšŸŽžƒˆ˜–-›€™]")
 
 
 def _mended(m: re.Match) -> str:
@@ -66,39 +83,75 @@ class Words:
     text: np.ndarray  # text of every word
     hash: np.ndarray
     letters: np.ndarray  # all letters and digits, without anything between the words
-    letter_at: np.ndarray  # where in ``letters`` every word begins
+    letter_at: np.ndarray  # where in ``letters`` every word begins, and their end
 
 
 def words_of(texts: list[str]) -> Words:
     """Words are runs of letters and digits, without case, accents and markup."""
-    texts = [_BROKEN.sub(_mended, t) if "\u00c2" <= max(t, default="") and _BROKEN.search(t) else t for t in texts]
+    texts = [_BROKEN.sub(_mended, t) if "Â" <= max(t, default="") and _BROKEN.search(t) else t for t in texts]
     cps = code_points(without_markup("\n".join(texts) + "\n"))
-    sym = np.where(cps < 0x3000, _folded()[np.minimum(cps, 0x2FFF)], cps)
+    sym = np.where(cps < 0x10000, _folded()[np.minimum(cps, 0xFFFF)], cps)
     ends = np.cumsum([len(t) + 1 for t in texts])
-    mark = (cps >= 0x300) & (cps <= 0x36F)
+    mark = sym == 1
     if mark.any():
-        sym, ends = sym[~mark], np.cumsum(~mark)[ends - 1]
+        cps, sym, ends = cps[~mark], sym[~mark], np.cumsum(~mark)[ends - 1]
+    alone = np.zeros(len(cps), bool)
+    if len(cps) and cps.max() >= UNSPACED[0][0]:
+        for lo, hi in UNSPACED:
+            alone |= (cps >= lo) & (cps <= hi)
+        alone &= sym > 0
     inside = sym > 0
-    begin = np.flatnonzero(inside & ~np.concatenate([[False], inside[:-1]]))
-    run = np.cumsum(inside)
+    before = np.concatenate([[False], (inside & ~alone)[:-1]])
+    begin = np.flatnonzero(inside & (~before | alone))
     if not len(begin):
-        return Words(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        return Words(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(1, np.int64))
     lens = np.diff(np.concatenate([[0], begin, [len(sym)]]))
     at = np.arange(len(sym)) - np.repeat(np.concatenate([[0], begin]), lens)
     with np.errstate(over="ignore"):
         h = np.add.reduceat(sym.astype(np.uint64) * _powers()[at & 63], begin)
         h ^= h >> np.uint64(29)
         h *= _PRIME
-    return Words(np.searchsorted(ends, begin, side="right"), h, sym[inside].astype(np.uint32), run[begin] - 1)
+    run = np.cumsum(inside)
+    return Words(np.searchsorted(ends, begin, side="right"), h, sym[inside].astype(np.uint32), np.append(run[begin] - 1, run[-1]))
+
+
+def run_hashes(symbols: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of ``n`` symbols."""
+    if len(symbols) < n:
+        return np.zeros(0, np.uint64)
+    out = np.zeros(len(symbols) - n + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(n):
+            out = (out ^ symbols[j : j + len(out)].astype(np.uint64)) * _PRIME
+            out ^= out >> np.uint64(31)
+    return out
+
+
+@dataclass(frozen=True)
+class LetterRuns:
+    """Runs of letters of every item, for a closer look at doubtful pairs."""
+
+    run: int
+    size: np.ndarray  # letters of every item
+    known: list[tuple[np.ndarray, np.ndarray]]  # sorted hashes of its runs, and where they begin
+
+    @classmethod
+    def of(cls, symbols: np.ndarray, edges: np.ndarray, run: int) -> LetterRuns:
+        known = []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            hashes = run_hashes(symbols[a:b], run)
+            order = np.argsort(hashes, kind="stable")
+            known.append((hashes[order], order))
+        return cls(run, np.diff(edges), known)
 
 
 @dataclass(frozen=True)
 class Patterns:
-    """Word runs of all items, with the tables of the search."""
+    """All runs of ``m`` words of some items, with the tables of the search."""
 
     m: int
     vocabulary: np.ndarray  # sorted word hashes
-    item_words: list[np.ndarray]  # word numbers of every item
+    size: np.ndarray  # words of every item
     shift: np.ndarray  # by block number; the last is that of unknown blocks
     blocks: np.ndarray  # sorted block keys
     bucket: np.ndarray  # by block: first pattern that ends in it
@@ -106,104 +159,73 @@ class Patterns:
     post_start: np.ndarray  # postings of every pattern
     post_item: np.ndarray
     post_at: np.ndarray
-    post_weight: np.ndarray  # 1 / number of items that hold the pattern
-    item_weight: np.ndarray  # sum over the item's patterns
-    runs: list[tuple[np.ndarray, np.ndarray]]  # letter runs of every item and their weights
-
-
-def letter_runs(letters: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of all runs of ``n`` letters."""
-    if len(letters) < n:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(len(letters) - n + 1, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(n):
-            out = (out ^ letters[j : j + len(out)].astype(np.uint64)) * _PRIME
-            out ^= out >> np.uint64(31)
-    return out
-
+    runs: np.ndarray  # patterns of every item
+    common: np.ndarray  # postings that are among the item's commonest
+    letters: LetterRuns  # runs of twelve letters
 
-def runs_of(words: Words, n_texts: int, m: int, run: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Hashes of every text's runs of ``m`` words and of its runs of ``run`` letters."""
-    count = np.bincount(words.text, minlength=n_texts)
-    first = np.cumsum(count) - count
-    edges = np.concatenate([words.letter_at, [len(words.letters)]])
-    by_words = [letter_runs(words.hash[a : a + n], m) for a, n in zip(first, count, strict=True)]
-    return by_words, [letter_runs(words.letters[edges[a] : edges[a + n]], run) for a, n in zip(first, count, strict=True)]
 
+def run_length(size: int, least: float = 0.6, most: int = 4) -> int:
+    """Words of the patterns of an item: so few that the longer of two passages that make
+    up ``least`` of it holds one, two at least, ``most`` for all but short items."""
+    return min(most, size, max(2, math.ceil(math.ceil(least * size) / 2)))
 
-@dataclass(frozen=True)
-class Held:
-    """In how many items runs occur; runs that aren't listed occur in one."""
-
-    hash: np.ndarray  # sorted
-    items: np.ndarray
-
-    def of(self, runs: np.ndarray) -> np.ndarray:
-        if not len(self.hash):
-            return np.ones(len(runs), np.int64)
-        at = np.minimum(np.searchsorted(self.hash, runs), len(self.hash) - 1)
-        return np.where(self.hash[at] == runs, self.items[at], 1)
-
-
-def held_by(item_runs: list[np.ndarray]) -> Held:
-    known, held = np.unique(np.concatenate([np.unique(r) for r in item_runs]) if item_runs else np.zeros(0, np.uint64), return_counts=True)
-    return Held(known[held > 1], held[held > 1])
 
+def compiled(texts: list[str], least: float = 0.6, most: int = 4, doubt: float = 0.25) -> list[Patterns]:
+    """Patterns of the items' texts, one set for each length of runs; an item without
+    words has none."""
+    words = words_of(texts)
+    size = np.bincount(words.text, minlength=len(texts))
+    runs = np.array([run_length(n, least, most) if n else 0 for n in size])
+    return [_patterns(words, size, runs == m, int(m), doubt) for m in np.unique(runs) if m]
 
-def compiled(texts: list[str], m: int = 4, run: int = 12, held: tuple[Held, Held] | None = None) -> Patterns:
-    """Patterns of the items' texts; an item of fewer than ``m`` words has none.
 
-    ``held`` tells in how many items the runs of words and of letters occur, where these
-    texts are only some of the items.
-    """
-    words = words_of(texts)
-    owner, h = words.text, words.hash
+def _patterns(words: Words, size: np.ndarray, own: np.ndarray, m: int, doubt: float) -> Patterns:
+    mine = own[words.text]
+    owner, h = words.text[mine], words.hash[mine]
     vocabulary = np.unique(h)
     number = np.searchsorted(vocabulary, h)
-    word_runs, item_runs = runs_of(words, len(texts), m, run)
-    held_words, held_letters = held or (held_by(word_runs), held_by(item_runs))
-    runs = [(r, 1.0 / held_letters.of(r)) for r in item_runs]
-    items = [number[owner == i] for i in range(len(texts))]
-    rows, item, at = [], [], []
-    for i, w in enumerate(items):
-        if len(w) >= m:
-            rows.append(np.lib.stride_tricks.sliding_window_view(w, m))
-            item.append(np.full(len(w) - m + 1, i))
-            at.append(np.arange(len(w) - m + 1))
-    rows = np.concatenate(rows) if rows else np.zeros((0, m), np.int64)
-    item, at = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (item, at))
-    size = len(vocabulary)
-    order = np.lexsort((*(rows[:, j] for j in range(m - 2)), rows[:, m - 1], rows[:, m - 2])) if len(rows) else np.zeros(0, np.int64)
+    # Runs begin at every word but the last m - 1 of an item.
+    last = np.cumsum(np.where(own, size, 0))
+    begin = np.flatnonzero(np.arange(len(h)) + m <= last[owner])
+    rows = np.stack([number[begin + j] for j in range(m)], axis=1)
+    item, at = owner[begin], begin - (last - size)[owner[begin]]
+    order = np.lexsort((*(rows[:, j] for j in range(m - 2)), rows[:, m - 1], rows[:, max(m - 2, 0)]))
     rows, item, at = rows[order], item[order], at[order]
     new = np.ones(len(rows), bool)
     new[1:] = (rows[1:] != rows[:-1]).any(1)
     grams = rows[new]
     post_start = np.concatenate([np.flatnonzero(new), [len(rows)]])
+    n_words = len(vocabulary)
     # How far a pattern may still be ahead when its block ends the window.
-    all_blocks = [grams[:, j] * size + grams[:, j + 1] for j in range(m - 1)]
-    blocks = np.unique(np.concatenate(all_blocks)) if len(grams) else np.zeros(0, np.int64)
-    shift = np.full(len(blocks) + 1, m - 1, np.int64)
-    for j in range(m - 1):
-        np.minimum.at(shift, np.searchsorted(blocks, all_blocks[j]), m - 2 - j)
-    last = np.searchsorted(blocks, all_blocks[-1]) if len(grams) else np.zeros(0, np.int64)
-    bucket = np.searchsorted(last, np.arange(len(blocks) + 1))
-    each = np.concatenate(word_runs) if word_runs else np.zeros(0, np.uint64)
-    weight = 1.0 / held_words.of(each[order])
-    total = np.bincount(item, weights=weight, minlength=len(texts))
-    return Patterns(m, vocabulary, items, shift, blocks, bucket, grams, post_start, item, at, weight, total, runs)
+    all_blocks = [grams[:, j] * n_words + grams[:, j + 1] for j in range(m - 1)] or [grams[:, 0]]
+    blocks = np.unique(np.concatenate(all_blocks))
+    shift = np.full(len(blocks) + 1, max(m - 1, 1), np.int64)
+    for j, b in enumerate(all_blocks):
+        np.minimum.at(shift, np.searchsorted(blocks, b), len(all_blocks) - 1 - j)
+    bucket = np.searchsorted(np.searchsorted(blocks, all_blocks[-1]), np.arange(len(blocks) + 1))
+    # An item's patterns from the one that most items hold down.
+    held = np.repeat(np.diff(post_start), np.diff(post_start))
+    n_runs = np.bincount(item, minlength=len(size))
+    by_held = np.lexsort((at, -held, item))
+    rank = np.zeros(len(item), np.int64)
+    rank[by_held] = ranges(n_runs)
+    common = rank + 1 <= doubt / 2 * n_runs[item]
+    edge = np.concatenate([[0], np.cumsum(size)])
+    return Patterns(m, vocabulary, size, shift, blocks, bucket, grams, post_start, item, at, n_runs, common, LetterRuns.of(words.letters, words.letter_at[edge], 12))
 
 
 def occurrences(words: np.ndarray, begins: np.ndarray, ends: np.ndarray, p: Patterns, stretch: int = 192) -> tuple[np.ndarray, np.ndarray]:
     """(position of the first word, pattern) of all occurrences within [begin, end) runs
     of word numbers (-1: not in the vocabulary)."""
-    if not len(p.grams) or not len(words):
+    if not len(words):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    size = len(p.vocabulary)
-    # Number of the block that ends at each word.
-    key = np.full(len(words), -1, np.int64)
-    both = (words[1:] >= 0) & (words[:-1] >= 0)
-    key[1:][both] = (words[:-1] * size + words[1:])[both]
+    # Number of the block that ends at each word; a block is a single word if patterns are.
+    if p.m == 1:
+        key = words
+    else:
+        key = np.full(len(words), -1, np.int64)
+        both = (words[1:] >= 0) & (words[:-1] >= 0)
+        key[1:][both] = (words[:-1] * len(p.vocabulary) + words[1:])[both]
     block = np.searchsorted(p.blocks, key)
     block[block == len(p.blocks)] = 0
     unknown = len(p.blocks)
@@ -238,145 +260,172 @@ def occurrences(words: np.ndarray, begins: np.ndarray, ends: np.ndarray, p: Patt
     return at - (p.m - 1), pattern
 
 
-def leaks(texts: list[str], p: Patterns, least: float = 0.36, doubt: float = 0.1, by_letters: float = 0.38, run: int = 12) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, item, share) of the texts that carry an item, wholly or in large part.
+def covered(begins: np.ndarray, group: np.ndarray, m: int, gap: int) -> np.ndarray:
+    """Words that runs of ``m`` cover, by group; up to ``gap`` words between two runs count
+    as disturbed ones of the same passage.  Rows are sorted by (group, begin)."""
+    step = np.full(len(begins), m)
+    ahead = begins[1:] - begins[:-1]
+    step[:-1] = np.where(group[1:] == group[:-1], np.where(ahead <= m + gap, ahead, m), m)
+    return np.bincount(group, weights=step).astype(np.int64)
+
+
+def passages(pair: np.ndarray, item_at: np.ndarray, pos: np.ndarray, size: np.ndarray, m: int, gap: int, bits: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(pair, share, whether it is enough, the most it may be, first and last position) of
+    the best one or two passages of pairs.
 
-    Patterns count by their rarity among the items, so stock phrases weigh little.  The
-    share is that of an item's patterns found in the one or two passages of a text that
-    hold most of it; the words of a passage keep their distance to those of the item but
-    for some inserted or left out.  Below ``least`` and above ``doubt`` the letters
-    decide: passages whose words were broken up still have the item's runs of ``run``
-    letters, of which ``by_letters`` must be there, by the same weights.
+    Runs of ``m`` at ``item_at`` of the item and ``pos`` of the text belong to a passage
+    if their distances differ by up to 2 ** ``bits``: two neighbouring bands of distances
+    make one.  Two passages count by their union, as they may hold the same part of the
+    item; it is looked at only where it may reach ``least`` of the pair's ``size``, less
+    the ``m`` - 1 that may go unseen at a disturbed end.
+    """
+    band = (item_at - pos + (1 << 30)) >> bits
+    window = np.concatenate([(pair << 32) | band, (pair << 32) | (band - 1)])
+    begin, place = np.concatenate([item_at, item_at]), np.concatenate([pos, pos])
+    order = np.lexsort((begin, window))
+    window, begin, place = window[order], begin[order], place[order]
+    first = np.flatnonzero(np.concatenate([[True], window[1:] != window[:-1]]))
+    stop = np.append(first[1:], len(window))
+    group = np.repeat(np.arange(len(first)), stop - first)
+    words = covered(begin, group, m, gap)
+    name = window[first]
+    of = name >> 32
+    pairs, start = np.unique(of, return_index=True)
+    last = np.append(start[1:], len(of))
+    rank = np.repeat(np.arange(len(pairs)), last - start)
+    top = np.lexsort((-words, of))[start]
+    apart = np.abs(name - name[top][rank]) > 1
+    second = np.zeros(len(pairs), np.int64)
+    np.maximum.at(second, rank[apart], words[apart])
+    # The last words of a passage are not seen where one of them is disturbed.
+    need = least * size[pairs] - (m - 1)
+    share = words[top] / size[pairs]
+    lo, hi = np.minimum.reduceat(place, first), np.maximum.reduceat(place, first)
+    seen_lo, seen_hi = lo[top], hi[top]
+    for k in np.flatnonzero((words[top] < need) & (words[top] + second >= need)):
+        own = begin[first[top[k]] : stop[top[k]]]
+        for g in range(start[k], last[k]):
+            if apart[g] and words[g] + words[top[k]] >= need[k]:
+                both = np.unique(np.concatenate([own, begin[first[g] : stop[g]]]))
+                share[k] = max(share[k], covered(both, np.zeros(len(both), np.int64), m, gap)[0] / size[pairs[k]])
+    near = np.flatnonzero(apart & (words == second[rank]) & (second[rank] > 0))
+    np.minimum.at(seen_lo, rank[near], lo[near])
+    np.maximum.at(seen_hi, rank[near], hi[near])
+    found = share * size[pairs] >= need - 1e-6
+    return pairs, np.minimum(share, 1.0), found, (words[top] + second) / size[pairs], seen_lo, seen_hi
+
+
+def leaks(texts: list[str], groups: list[Patterns], least: float = 0.6, gap: int = 2, doubt: float = 0.25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, share) of the texts that carry ``least`` of an item's words.
+
+    The share is that of the item's words in the one or two passages of the text that
+    hold most of it.  In a passage the words keep the item's order and, within about
+    thirty words, their distance; up to ``gap`` words between two undisturbed runs of
+    ``m`` count as disturbed and carried.  Looked at are the pairs that have ``doubt`` of
+    the item's patterns.  Those that have two thirds of ``least`` but not all of it are looked
+    at closer, by runs of twelve letters, as words that were broken up or run together
+    still have theirs.
     """
-    n_items = len(p.item_words)
-    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     w = words_of(texts)
-    if not len(w.text) or not len(p.grams):
-        return none
+    count = np.bincount(w.text, minlength=len(texts))
+    out = [_leaks(w, count, p, least, gap, doubt) for p in groups] if len(w.text) else []
+    return tuple(np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(list(zip(*out, strict=True)) or [(), (), ()], (np.int64, np.int64, float), strict=True))
+
+
+def _leaks(w: Words, count: np.ndarray, p: Patterns, least: float, gap: int, doubt: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n_items = len(p.size)
     at = np.minimum(np.searchsorted(p.vocabulary, w.hash), len(p.vocabulary) - 1)
     number = np.where(p.vocabulary[at] == w.hash, at, -1)
-    count = np.bincount(w.text, minlength=len(texts))
     end = np.cumsum(count)
     pos, pattern = occurrences(number, end - count, end, p)
     n = p.post_start[pattern + 1] - p.post_start[pattern]
     post = np.repeat(p.post_start[pattern], n) + ranges(n)
     pos = np.repeat(pos, n)
     pair = w.text[pos] * n_items + p.post_item[post]
-    # Pairs whose hits cannot reach a part of the item go first.
-    total = np.bincount(pair, weights=p.post_weight[post], minlength=0)
-    kept = total[pair] >= doubt * p.item_weight[p.post_item[post]]
-    pair, pos, post = pair[kept], pos[kept], post[kept]
+    # Pairs that have ``doubt`` of the item's patterns; half of these must then lie outside
+    # the ``doubt`` / 2 of them that most items hold.
+    space = len(count) * n_items
+    enough = np.bincount(pair, minlength=space) >= doubt * p.runs[np.arange(space) % n_items]
+    enough &= np.bincount(pair[~p.common[post]], minlength=space) >= doubt / 2 * p.runs[np.arange(space) % n_items]
+    kept = enough[pair]
+    pair, pos, item_at = pair[kept], pos[kept], p.post_at[post[kept]]
     if not len(pair):
-        return none
-    item_at = p.post_at[post]
-    # Passages: bands of neighbouring distances between text and item.
-    band, of = np.unique((pair << 32) | ((item_at - pos + (1 << 30)) >> 4), return_inverse=True)
-    once = np.unique(of * (int(item_at.max()) + 1) + item_at, return_index=True)[1]
-    weight = np.bincount(of[once], weights=p.post_weight[post][once], minlength=len(band))
-    follows = np.concatenate([band[1:] == band[:-1] + 1, [False]])
-    both = weight + np.where(follows, np.concatenate([weight[1:], [0]]), 0)
-    order = np.lexsort((-both, band >> 32))
-    group = (band >> 32)[order]
-    begins = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
-    best = order[begins]
-    pairs = group[begins]
-    # The second passage must not share a band with the first.
-    rank = np.searchsorted(pairs, band >> 32)
-    apart = np.abs(band - band[best][rank]) > 1
-    second = np.zeros(len(pairs))
-    np.maximum.at(second, rank[apart], both[apart])
-    text, item = pairs // n_items, pairs % n_items
-    share = (both[best] + second) / p.item_weight[item]
-    found = share >= least
-    # The letters around the hits of doubtful pairs.
-    hit_order = np.argsort(of, kind="stable")
-    hit_start = np.searchsorted(of[hit_order], np.arange(len(band) + 1))
-    for k in np.flatnonzero((share >= doubt) & ~found):
-        hits = pos[hit_order[hit_start[best[k]] : hit_start[best[k] + 1]]]
-        size = len(p.item_words[item[k]])
-        t_begin, t_end = end[text[k]] - count[text[k]], end[text[k]]
-        lo = w.letter_at[max(t_begin, hits.min() - 2 * size)]
-        hi_word = min(t_end, hits.max() + 2 * size)
-        hi = w.letter_at[hi_word] if hi_word < len(w.letter_at) else len(w.letters)
-        runs, weights = p.runs[item[k]]
-        there = np.isin(runs, letter_runs(w.letters[lo:hi], run))
-        part = float(weights[there].sum() / max(weights.sum(), 1e-9))
-        if part >= by_letters:
-            found[k], share[k] = True, max(share[k], part)
-    return text[found], item[found], np.minimum(share[found], 1.0)
-
-
-def leaked(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, m: int = 4, least: float = 0.36, items_a_pass: int = 20_000) -> DataFrame:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    known, code = np.unique(pair, return_inverse=True)
+    codes, share, good, bound, lo, hi = passages(code, item_at, pos, p.size[known % n_items], p.m, gap, 4, least)
+    text, item = known[codes] // n_items, known[codes] % n_items
+    doubtful = np.flatnonzero(~good & (bound >= least * 2 / 3))
+    if len(doubtful):
+        spare = 2 * p.size[item[doubtful]]
+        begin = np.maximum(lo[doubtful] - spare, (end - count)[text[doubtful]])
+        stop = np.minimum(hi[doubtful] + spare, end[text[doubtful]])
+        by_letters, enough = _closer(w.letters, p.letters, item[doubtful], w.letter_at[begin], w.letter_at[stop], 6, 6, least)
+        share[doubtful] = np.maximum(share[doubtful], by_letters)
+        good[doubtful] = enough
+    return text[good], item[good], share[good]
+
+
+def _closer(symbols: np.ndarray, short: LetterRuns, item: np.ndarray, begin: np.ndarray, stop: np.ndarray, gap: int, bits: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Shares of the items' letters, and whether they are enough, that the stretches [begin, stop) have in order."""
+    hashes = run_hashes(symbols, short.run)
+    owner, item_at, pos = [], [], []
+    for k, (i, b, e) in enumerate(zip(item, begin, stop, strict=True)):
+        known, at = short.known[i]
+        there = hashes[b : max(e - short.run + 1, b)]
+        lo = np.searchsorted(known, there)
+        hit = np.flatnonzero(lo < len(known))
+        hit = hit[known[lo[hit]] == there[hit]]
+        n = np.searchsorted(known, there[hit], side="right") - lo[hit]
+        owner.append(np.full(int(n.sum()), k))
+        item_at.append(at[np.repeat(lo[hit], n) + ranges(n)])
+        pos.append(np.repeat(hit, n))
+    owner, item_at, pos = (np.concatenate(x).astype(np.int64) for x in (owner, item_at, pos))
+    out, found = np.zeros(len(item)), np.zeros(len(item), bool)
+    if len(owner):
+        known, code = np.unique(owner, return_inverse=True)
+        codes, share, good, _, _, _ = passages(code, item_at, pos, short.size[item[known]], short.run, gap, bits, least)
+        out[known[codes]], found[known[codes]] = share, good
+    return out, found
+
+
+def leaked(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str, least: float = 0.6, items_a_pass: int = 20_000) -> DataFrame:
     """Pairs of a document and an evaluation item that it carries, wholly or in part.
 
-    Result: (key, item, share); ``share`` is the part of the item, by patterns weighted
-    with their rarity, that the document's one or two passages hold.  Null and empty
-    texts carry nothing; items of null or fewer than ``m`` words are never found; equal
-    documents and equal items are reported each by its key, repeated rows repeatedly.
+    Result: (key, item, share); ``share`` is the part of the item's words that the
+    document's one or two passages hold, ``least`` or more but for three words at a
+    disturbed end.  Null and empty texts carry
+    nothing; items of null or without words are never found; equal documents and equal
+    items are reported each by its key, repeated rows repeatedly.  Items of fewer than 14
+    words are searched by shorter runs, a single word by itself.
 
-    The documents are read once for every ``items_a_pass`` items and none is shuffled:
-    the items, held-out material of limited size, go to the tasks in passes of limited
-    size, whole documents are searched where they are read.  With more than one pass, the
-    items that hold a run are counted over all items first.
+    No document is shuffled: the items, held-out material of limited size, are broadcast
+    in passes of ``items_a_pass``, one held by the driver at a time and compiled once by
+    each worker, and whole documents are searched where they are read, once a pass.
     """
     kind, item_kind = df.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
     wanted = items.where(F.col(item_text).isNotNull()).select(F.col(item_key).alias("item"), F.col(item_text).alias("text"))
     passes = max(1, -(-wanted.count() // items_a_pass))
     docs = df.where(F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(text).alias("text"))
     own_pass = F.pmod(F.xxhash64("item", "text"), F.lit(passes))
-    counts = _shared_runs(wanted.select(own_pass.cast("bigint").alias("pass"), "text"), m) if passes > 1 else None
     out = None
     for number in range(passes):
-        own = wanted.where(own_pass == number).orderBy("item", "text").toPandas()
-        names = pa.Array.from_pandas(own["item"])
-        found = docs.mapInArrow(_search(names, list(own["text"]), m, least, counts and _held(counts(number))), f"key {kind}, item {item_kind}, share double")
+        own = df.sparkSession.sparkContext.broadcast(wanted.where(own_pass == number).orderBy("item", "text").toArrow().combine_chunks())
+        found = docs.mapInArrow(_search(uuid.uuid4().hex, own, least), f"key {kind}, item {item_kind}, share double")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _shared_runs(items: DataFrame, m: int, run: int = 12) -> Callable[[int], DataFrame]:
-    """For a pass, (letters, hash, held) of its runs that more than one of all items hold.
-
-    ``items`` has (pass, text).  What one pass's items hold is as limited as these are.
-    """
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            passes, texts = batch.column(0), batch.column(1).to_pylist()
-            for first, some in portions(texts):
-                for letters, runs in enumerate(runs_of(words_of(some), len(some), m, run)):
-                    distinct = [np.unique(r) for r in runs]
-                    owner = np.repeat(np.arange(len(some)) + first, [len(r) for r in distinct])
-                    hashes = np.concatenate([np.zeros(0, np.uint64), *distinct]).view(np.int64)
-                    yield pa.record_batch([passes.take(pa.array(owner, pa.int64())), pa.array(np.full(len(hashes), letters == 1)), pa.array(hashes)], names=["pass", "letters", "hash"])
-
-    runs = items.mapInArrow(listed, "pass bigint, letters boolean, hash bigint")
-    counted = checkpointed(runs.groupBy("letters", "hash").agg(F.count("*").alias("held"), F.collect_set("pass").alias("passes")).where("held > 1"))
-    return lambda number: counted.where(F.array_contains("passes", F.lit(number).cast("bigint"))).select("letters", "hash", "held")
-
-
-def _held(shared: DataFrame) -> tuple[Held, Held]:
-    """The counts of the runs of words and of letters, by ascending hash."""
-    rows = shared.toPandas()
-    out = []
-    for letters in (False, True):
-        some = rows[rows["letters"] == letters]
-        hashes = some["hash"].to_numpy(np.int64).view(np.uint64)
-        order = np.argsort(hashes)
-        out.append(Held(hashes[order], some["held"].to_numpy(np.int64)[order]))
-    return out[0], out[1]
-
+def _ready(items: pa.Table, least: float) -> tuple[pa.Array, list[Patterns]]:
+    return items["item"], compiled(items["text"].to_pylist(), least)
 
-def _search(names: pa.Array, item_texts: list[str], m: int, least: float, held: tuple[Held, Held] | None = None):
-    made: list[Patterns] = []
 
+def _search(name: str, items: Broadcast, least: float):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, patterns = once_a_worker(name, items, _ready, least)
         for batch in batches:
-            if not made:
-                made.append(compiled(item_texts, m, held=held))
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for first, some in portions(texts):
-                t, i, share = leaks(some, made[0], least)
-                yield pa.record_batch([keys.take(pa.array(t + first)), names.take(pa.array(i)), pa.array(share)], names=["key", "item", "share"])
+                t, i, share = leaks(some, patterns, least)
+                yield pa.record_batch([keys.take(pa.array(t + first)), names.take(pa.array(i)).combine_chunks(), pa.array(share)], names=["key", "item", "share"])
 
     return search

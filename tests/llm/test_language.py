@@ -18,7 +18,7 @@ def samples(spark):
 
 @pytest.fixture(scope="module")
 def profiles(spark, samples):
-    return language.learned(samples, spark.createDataFrame([], "doc_id bigint, text string, lang string"), "text", "lang", "doc_id")
+    return language.learned(samples, spark.createDataFrame([], "doc_id bigint, text string, lang string"), "text", "lang")
 
 
 def test_table_is_the_product_of_vectors():
@@ -78,3 +78,24 @@ def test_labels(spark):
 def test_empty(spark, profiles):
     df = spark.createDataFrame([], "doc bigint, text string")
     assert language.segment_languages(df, "doc", "text", profiles).count() == 0
+
+
+def test_every_sample_counts(spark, samples):
+    """Samples of one language, however many come first, don't push out the others."""
+    en = samples.where("lang = 'en'").select("lang", "text")
+    many = en.crossJoin(spark.range(2000).select()).unionByName(samples.select("lang", "text")).coalesce(1)
+    none = spark.createDataFrame([], "doc_id bigint, text string, lang string")
+    p = language.learned(many, none, "text", "lang")
+    assert p.langs == ("de", "en", "es", "fr", "it", "nl")
+    counts = {(r["lang"], r["gram"]): r["n"] for r in language.trigram_counts(samples, "lang", "text").collect()}
+    whole = language.counted([r["text"] for r in samples.where("lang = 'de'").collect()])
+    assert {g: n for (x, g), n in counts.items() if x == "de"} == {int(g): int(whole[g]) for g in np.flatnonzero(whole)}
+
+
+def test_copies_do_not_fill_the_sample(spark):
+    from glossweave.llm._spark import hash_sample
+
+    rows = spark.range(30_000).selectExpr("if(id < 20000, 7, id) AS k", "repeat('x', cast(id >= 20000 as int)) AS t")
+    got = hash_sample(rows, 500)
+    assert got.count() == got.distinct().count() == 500
+    assert sorted(got.collect()) == sorted(hash_sample(rows.repartition(7), 500).collect())

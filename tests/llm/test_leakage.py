@@ -75,7 +75,7 @@ def test_passes_do_not_change_shares(spark):
 
 
 def test_search_equals_scan():
-    p = leakage.compiled([" ".join(passage(30)) for _ in range(40)], 4)
+    (p,) = leakage.compiled([" ".join(passage(30)) for _ in range(40)])
     rng = np.random.default_rng(0)
     words = rng.integers(-1, len(p.vocabulary), 6000)
     for g in p.grams[::7]:
@@ -102,3 +102,39 @@ def test_long_text():
     text = " ".join(passage(60_000)) + " " + ITEMS[3]
     t, i, _ = leakage.leaks([text], p)
     assert list(zip(t, i)) == [(0, 3)]
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = ["東京都は日本の首都であり世界最大の都市圏です", "three short words", "Xylograph", "pale harbour", "", " \n", "ภาษาไทยไม่มีช่องว่างระหว่างคำ"]
+    texts = ["前文。東京都は日本の首都であり、世界最大の都市圏です。後文", "here are THREE short words, indeed", "a xylograph", "the pale harbour", "harbour, pale", "", None, "นี่คือภาษาไทยไม่มีช่องว่างระหว่างคำนะ", "日本の首都"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc bigint, text string")
+    own = spark.createDataFrame(list(enumerate(items)), "item bigint, text string")
+    out = leakage.leaked(df, "doc", "text", own, "item", "text").collect()
+    assert {(r["key"], r["item"]) for r in out} == {(0, 0), (1, 1), (2, 2), (3, 3), (7, 6)}
+
+
+def test_words_by_definition():
+    """Three fifths of the words in one passage or two, but not in three, nor twice the same."""
+    rng = random.Random(4)
+    item = [f"w{rng.randint(0, 9999)}x{i}" for i in range(100)]
+    noise = lambda n: [f"n{rng.randint(0, 99999)}" for _ in range(n)]
+    (p,) = leakage.compiled([" ".join(item)])
+    cases = [(item[10:70], True), (item[10:64], False), ([*item[:30], *noise(80), *item[60:90]], True), ([*item[:25], *noise(80), *item[30:55], *noise(80), *item[70:95]], False), ([*item[:40], *noise(80), *item[:40]], False), (sorted(item), False)]
+    for words, want in cases:
+        t, _, share = leakage.leaks([" ".join([*noise(20), *words, *noise(20)])], [p])
+        assert (len(t) == 1) == want
+        assert all(s >= 0.57 for s in share)
+
+
+def test_hidden_characters():
+    (p,) = leakage.compiled([ITEMS[2]])
+    hidden = re.sub(r"(\w{3})(?=\w)", lambda m: m[0] + "\u00ad", ITEMS[2])
+    assert leakage.leaks([hidden], [p])[2].tolist() == [1.0]
+
+
+def test_memory_of_passes(spark):
+    """Only one pass of items is held by the driver's Python, and plans carry none."""
+    df = spark.createDataFrame([(1, ITEMS[0])], "doc bigint, text string")
+    items = spark.createDataFrame(list(enumerate(ITEMS)), "item bigint, text string")
+    out = leakage.leaked(df, "doc", "text", items, "item", "text", items_a_pass=1)
+    assert {r["item"] for r in out.collect()} == {0}
