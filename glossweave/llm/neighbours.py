@@ -197,15 +197,19 @@ def nearest(
     vector: str,
     dim: int,
     k: int = 3,
-    probes: int = 5,
+    least: float = -1.0,
+    probes: int | None = None,
+    recall: float = 0.995,
     part_rows: int = 1500,
     most_parts: int = 4096,
     sample_rows: int = 8000,
     most_sample_rows: int = 65_536,
     most_regions: int = 512,
     block_rows: int = 6000,
+    held_out: int = 512,
 ) -> DataFrame:
-    """The ``k`` most similar other vectors of every vector, by cosine.
+    """The ``k`` most similar other vectors of every vector, by cosine, of those with a
+    cosine of ``least``.
 
     The higher cosine goes first, then the smaller key.  Rows with a null key or without
     ``dim`` finite numbers that are not all zero take no part; rows that repeat a key
@@ -215,8 +219,11 @@ def nearest(
     The routers are fitted on the vectors of smallest hash, a bounded sample of
     ``sample_rows`` or 84 for each part, ``most_sample_rows`` at most; every vector is
     indexed and every vector is a query, in its ``probes`` most probable of about rows /
-    ``part_rows`` parts (at most ``most_parts``; over ``most_regions`` in two levels), or
-    in half the root of the number of parts, if that is more.
+    ``part_rows`` parts (at most ``most_parts``; over ``most_regions`` in two levels).
+    Where ``probes`` isn't given, it is measured: for ``held_out`` more vectors of the
+    sample, which no router was fitted on, the true neighbours among all vectors are
+    found, and as many parts are asked as reach ``recall`` of them.  ``probes`` of
+    ``most_parts`` asks all parts and is exact.
     Vectors that
     are equal are searched once and get their neighbours back at the end, so copies don't
     fill a part; a part that is large all the same is compared in blocks of
@@ -236,7 +243,7 @@ def nearest(
     first_ones = Window.partitionBy("c1", "c2").orderBy("key")
     heads = cut.select("c1", "c2", "key").withColumn("r", F.row_number().over(first_ones)).where(F.col("r") <= k + 1)
     heads = heads.groupBy("c1", "c2").agg(F.min("key").alias("rep"), F.sort_array(F.collect_list("key")).alias("ids"))
-    by_rep = _search(classes.select("rep", "v"), kind, dim, k, probes, part_rows, most_parts, sample_rows, most_sample_rows, most_regions, block_rows)
+    by_rep = _search(classes.select("rep", "v"), kind, dim, k, least, probes, recall, part_rows, most_parts, sample_rows, most_sample_rows, most_regions, block_rows, held_out)
     # Back to all members: a class's candidates are its own heads and those of its neighbours.
     ids = heads.select("rep", "ids")
     of_near = by_rep.join(ids.withColumnsRenamed({"rep": "near", "ids": "near_ids"}), "near").select("rep", "sim", F.explode(F.slice("near_ids", 1, k)).alias("id"))
@@ -248,17 +255,59 @@ def nearest(
     return open_rows.select("key", F.explode(best).alias("o")).select("key", F.col("o.id").alias("neighbour"), F.col("o.sim").alias("similarity"))
 
 
-def _search(vectors: DataFrame, kind: str, dim: int, k: int, probes: int, part_rows: int, most_parts: int, sample_rows: int, most_sample_rows: int, most_regions: int, block_rows: int) -> DataFrame:
+def probes_needed(table: DataFrame, routes: Routes, queries: np.ndarray, names: pa.Array, dim: int, k: int, least: float, recall: float) -> int:
+    """How many parts must be asked to reach ``recall`` of the true neighbours of queries.
+
+    One pass over the table compares all vectors with the queries, a bounded number; each
+    task keeps the ``k`` best of every query, and the home parts of these come out.
+    """
+    n_queries, parts = len(queries), routes.begins[-1]
+
+    def scan(batches):
+        sims = np.full((n_queries, k), -2.0, np.float32)
+        homes = np.full((n_queries, k), -1, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = _matrix(batch.column(1), dim)
+            home = routes.best(x, 1)[:, 0]
+            s = queries @ x.T
+            at = pc.fill_null(pc.index_in(batch.column(0), names), -1).to_numpy()
+            own = np.flatnonzero(at >= 0)
+            s[at[own], own] = -2
+            every = np.concatenate([sims, s], axis=1)
+            best = np.argpartition(-every, min(k, every.shape[1] - 1), axis=1)[:, :k]
+            homes = np.take_along_axis(np.concatenate([homes, np.broadcast_to(home, s.shape)], axis=1), best, axis=1)
+            sims = np.take_along_axis(every, best, axis=1)
+        q, j = np.nonzero((sims >= least) & (homes >= 0))
+        yield pa.record_batch([pa.array(q), pa.array(homes[q, j]), pa.array(sims[q, j].astype(np.float64))], names=["q", "part", "sim"])
+
+    found = table.select("rep", "v").mapInArrow(scan, "q bigint, part bigint, sim double")
+    order = Window.partitionBy("q").orderBy(F.desc("sim"), "part")
+    true = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("q", "part").toArrow()
+    if not true.num_rows:
+        return 1
+    order = routes.best(queries, parts)
+    where = order[true["q"].to_numpy()] == true["part"].to_numpy()[:, None]
+    ranks = np.where(where.any(1), where.argmax(1), parts - 1)
+    return int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
+
+
+def _search(vectors: DataFrame, kind: str, dim: int, k: int, least: float, probes: int | None, recall: float, part_rows: int, most_parts: int, sample_rows: int, most_sample_rows: int, most_regions: int, block_rows: int, held_out: int) -> DataFrame:
     """(rep, near, sim): the k nearest of every distinct vector."""
     table = checkpointed(vectors.select("rep", "v"))
     n = table.count()
     parts = max(1, min(most_parts, round(n / part_rows)))
-    routes = None
+    routes, asked = None, 1
     if parts > 1:
-        taken = hash_sample(table, "rep", min(most_sample_rows, max(sample_rows, 84 * parts))).select("v").toArrow()
-        routes = Routes.fitted(_matrix(taken["v"].combine_chunks(), dim), parts, most_regions)
+        fitting = min(most_sample_rows, max(sample_rows, 84 * parts))
+        taken = hash_sample(table, fitting + held_out).toArrow()
+        # At least four fifths of a small table's sample are for fitting.
+        fitting = min(fitting, taken.num_rows * 4 // 5)
+        x = _matrix(taken["v"].combine_chunks(), dim)
+        routes = Routes.fitted(x[:fitting], parts, most_regions)
         parts = routes.begins[-1]
-    asked = min(max(probes, math.ceil(math.sqrt(parts) / 2)), parts)
+        asked = min(probes, parts) if probes else probes_needed(table, routes, x[fitting:], taken["rep"][fitting:].combine_chunks(), dim, k, least, recall)
 
     def route(batches):
         for batch in batches:
@@ -283,14 +332,17 @@ def _search(vectors: DataFrame, kind: str, dim: int, k: int, probes: int, part_r
         return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pb in many.items() for x in pb)), "part"), F.lit(1))
 
     salt = F.xxhash64("rep")
-    bases = routed.where("home").select("rep", "v", "part", F.pmod(salt, lookup(base_blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), lookup(query_blocks) - 1)).alias("q"), F.lit(True).alias("base"))
-    queries = routed.select("rep", "v", "part", F.explode(F.sequence(F.lit(0), lookup(base_blocks) - 1)).alias("b"), F.pmod(salt, lookup(query_blocks)).cast("int").alias("q"), F.lit(False).alias("base"))
+    # Where a part is one block, its members are bases and queries in one row.
+    single = (lookup(base_blocks) == 1) & (lookup(query_blocks) == 1)
+    bases = routed.where("home").select("rep", "v", "part", F.pmod(salt, lookup(base_blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), lookup(query_blocks) - 1)).alias("q"), F.when(single, 3).otherwise(1).cast("byte").alias("role"))
+    others = routed.where(~(F.col("home") & single))
+    queries = others.select("rep", "v", "part", F.explode(F.sequence(F.lit(0), lookup(base_blocks) - 1)).alias("b"), F.pmod(salt, lookup(query_blocks)).cast("int").alias("q"), F.lit(2).cast("byte").alias("role"))
 
     def compare(group: pa.Table) -> pa.Table:
-        is_base = group["base"].to_numpy()
+        role = group["role"].to_numpy()
         x = _matrix(group["v"].combine_chunks(), dim).astype(np.float64)
         names = group["rep"].combine_chunks()
-        base_at, query_at = np.flatnonzero(is_base), np.flatnonzero(~is_base)
+        base_at, query_at = np.flatnonzero(role & 1), np.flatnonzero(role & 2)
         # Bases in order of their names: a stable sort then resolves equal cosines.
         base_at = base_at[pc.sort_indices(names.take(pa.array(base_at))).to_numpy()]
         base, base_names = x[base_at], names.take(pa.array(base_at))
@@ -306,7 +358,7 @@ def _search(vectors: DataFrame, kind: str, dim: int, k: int, probes: int, part_r
             if not take:
                 continue
             bound = -np.partition(-s, take - 1, axis=1)[:, take - 1 : take]
-            qi, bi = np.nonzero(s >= np.maximum(bound, -2))
+            qi, bi = np.nonzero(s >= np.maximum(bound, max(least, -2.0)))
             v = s[qi, bi]
             order = np.lexsort((bi, -v, qi))
             qi, bi, v = qi[order], bi[order], v[order]

@@ -88,7 +88,7 @@ WHERE occ < 10 OR recs > 0.5 * (SELECT count(DISTINCT doc_name) FROM vocab_count
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _read(spark, sf_dir, "fp_weak_log")
-    near = neighbours.nearest(log, "log_id", "entity_embeddings", dim=64, k=3)
+    near = neighbours.nearest(log, "log_id", "entity_embeddings", dim=64, k=3, least=0.9 - 1e-7)
     pairs = near.where("similarity >= 0.9").select(F.least("key", "neighbour").alias("log_id_a"), F.greatest("key", "neighbour").alias("log_id_b"))
     return pairs.distinct()
 
@@ -123,7 +123,7 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    profiles = language.learned(_read(spark, sf_dir, "lang_samples"), docs, "text", "lang", "doc_id")
+    profiles = language.learned(_read(spark, sf_dir, "lang_samples"), docs, "text", "lang")
     labelled = docs.select("doc_id", "text", language.label_language(F.col("lang")).alias("label"))
     return language.segment_languages(labelled, "doc_id", "text", profiles, keep=["label"])
 

@@ -92,3 +92,25 @@ def test_recall_with_many_parts(spark):
         near = np.argpartition(-s, 1, axis=1)[:, :2]
         want |= {(a + i, int(j)) for i, j in zip(*np.nonzero(s >= 0.9)) if j in near[i]}
     assert len(got & want) >= 0.98 * len(want) > 4000
+
+
+def test_probes_are_measured(spark):
+    """Unrelated vectors, the hard case: as many parts are asked as the recall needs."""
+    x = np.random.default_rng(3).normal(size=(6000, 16))
+    want = brute(x.astype(np.float32).astype(float), 3, 9)
+    for kw in ({"most_regions": 10}, {}):
+        got = run(spark, x, k=3, part_rows=80, recall=0.97, **kw)
+        assert len(got & want) / len(want) > 0.95
+
+
+def test_all_parts_are_exact(spark):
+    x = data(1500, 400, 4)
+    got = run(spark, x, k=3, part_rows=100, probes=4096, sample_rows=600)
+    assert got == brute(x.astype(np.float32).astype(float), 3)
+
+
+def test_least_similarity(spark):
+    x = data(1200, 300, 6)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(a, b) for a, b in brute(x.astype(np.float32).astype(float), 3) if u[a] @ u[b] >= 0.8}
+    assert run(spark, x, k=3, least=0.8, part_rows=100, sample_rows=600) == want
