@@ -91,7 +91,7 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray
     return tuple(np.array(x, np.int64) for x in (item, begin, size, container, place))
 
 
-def packed(df: DataFrame, key: str, size: str, capacity: int = 2048, items_a_packer: int = 250_000) -> DataFrame:
+def packed(df: DataFrame, key: str, size: str, capacity: int = 2048, items_a_packer: int = 100_000) -> DataFrame:
     """Every item of ``df`` with its container.
 
     Result: (key, piece_begin, piece_size, container, place), one row for every piece; a
@@ -104,9 +104,18 @@ def packed(df: DataFrame, key: str, size: str, capacity: int = 2048, items_a_pac
     key to packers of about ``items_a_packer`` each, which pack in order of the key: one
     packer leaves at most its few open containers unfilled, whatever the corpus' size.
     """
-    packers = max(1, math.ceil(df.select(key).count() / items_a_packer))
+    rows = df.select(F.col(key).alias("key"), F.greatest(F.col(size).cast("bigint"), F.lit(0)).alias("size"))
+    packers = max(1, math.ceil(rows.count() / items_a_packer))
     kind = df.schema[key].dataType.simpleString()
-    dealt = df.select(F.col(key).alias("key"), F.col(size).cast("bigint").alias("size"), F.pmod(F.xxhash64(F.col(key), F.monotonically_increasing_id()), F.lit(packers)).alias("packer"))
+    if packers == 1:
+        dealt = rows.withColumn("packer", F.lit(0).cast("bigint"))
+    else:
+        # Equal rows are told apart by number alone, so they are dealt the same way however
+        # the rows are laid out; their number comes out of two short lists.
+        alike = rows.groupBy("key", "size").agg(F.count("*").alias("n"))
+        tens = alike.select("key", "size", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / 10_000))).alias("t"))
+        each = tens.select("key", "size", F.explode(F.sequence(F.col("t") * 10_000, F.least(F.col("t") * 10_000 + 9_999, F.col("n") - 1))).alias("i"))
+        dealt = each.select("key", "size", F.pmod(F.xxhash64("key", "size", "i"), F.lit(packers)).alias("packer"))
 
     def pack(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table, sort_keys=[("key", "ascending"), ("size", "ascending")]))
@@ -128,7 +137,7 @@ def packed(df: DataFrame, key: str, size: str, capacity: int = 2048, items_a_pac
     return dealt.groupBy("packer").applyInArrow(pack, f"key {kind}, piece_begin bigint, piece_size bigint, container bigint, place bigint")
 
 
-def packed_texts(df: DataFrame, key: str, text: str, ranks_path: str, capacity: int = 2048, items_a_packer: int = 250_000) -> DataFrame:
+def packed_texts(df: DataFrame, key: str, text: str, ranks_path: str, capacity: int = 2048, items_a_packer: int = 100_000) -> DataFrame:
     """``packed`` over texts sized in tokens of the tokenizer at ``ranks_path``."""
     sized = with_token_counts(df.select(key, text), text, ranks_path).select(key, "n_tokens")
     return packed(sized, key, "n_tokens", capacity, items_a_packer)

@@ -80,3 +80,13 @@ def test_texts(spark):
     assert n[1] == n[6] == 2 and n[2] == n[3] == n[4] == 0
     assert n[5] == len(packing._encoder(path).encode_ordinary(long))
     assert packing.packed_texts(df.where("false"), "id", "text", path).count() == 0
+
+
+def test_layout_does_not_matter(spark):
+    rng = np.random.default_rng(9)
+    rows = [(int(k), int(n)) for k, n in zip(rng.integers(0, 200, 600), rng.integers(1, 9, 600))] + [(None, 4)] * 50
+    got = []
+    for parts in (2, 7):
+        df = spark.createDataFrame(rows, "id bigint, n int").repartition(parts)
+        got.append(sorted(packing.packed(df, "id", "n", 10, 100).collect(), key=str))
+    assert got[0] == got[1] and len(got[0]) == len(rows)
