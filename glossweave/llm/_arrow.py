@@ -39,5 +39,6 @@ def ints(values, missing: int = 0) -> tuple[np.ndarray, np.ndarray]:
 
 def text_codes(values) -> tuple[pa.Array, np.ndarray]:
     """Distinct strings and the code of every row; null gets -1."""
-    coded = unchunk(values).dictionary_encode()
+    values = unchunk(values)
+    coded = values if isinstance(values, pa.DictionaryArray) else values.dictionary_encode()
     return coded.dictionary, pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -86,6 +86,22 @@ WHERE occ < 10 OR recs > 0.5 * (SELECT count(DISTINCT doc_name) FROM vocab_count
 """
 
 
+def p3_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Occurrences and chunks of all runs of up to three words, unknown words apart."""
+    passes = _read(spark, sf_dir, "encoded_samples").groupBy("chunk_id", "sample_mode").agg(F.max("words").alias("words"))
+    known = F.transform("words", lambda w: F.when(w != 0, w))
+    return frequency.ngram_counts(passes.select("chunk_id", known.alias("words")), "chunk_id", "words", 3)
+
+
+P3_NGRAMS_SQL = """
+WITH c AS (SELECT chunk_id, list_transform(max(words), lambda w: nullif(w, 0)) AS w FROM encoded_samples GROUP BY chunk_id, sample_mode),
+p AS (SELECT chunk_id, unnest(range(1, len(w) + 1)) AS i, w FROM c WHERE chunk_id IS NOT NULL),
+g AS (SELECT chunk_id, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM p WHERE w[i] IS NOT NULL),
+s AS (SELECT chunk_id, a, NULL AS b, NULL AS c FROM g UNION ALL SELECT chunk_id, a, b, NULL FROM g WHERE b IS NOT NULL UNION ALL SELECT chunk_id, a, b, c FROM g WHERE b IS NOT NULL AND c IS NOT NULL)
+SELECT a::VARCHAR AS t1, b::VARCHAR AS t2, c::VARCHAR AS t3, count(*) AS occ, count(DISTINCT chunk_id) AS recs FROM s GROUP BY a, b, c
+"""
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = _read(spark, sf_dir, "fp_weak_log")
     near = neighbours.nearest(log, "log_id", "entity_embeddings", dim=64, k=3, least=0.9 - 1e-7)
@@ -140,5 +156,5 @@ def p8_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.select(F.col("key").alias("doc_id"), "label", F.col("doc_lang").alias("lang"), F.col("doc_confidence").alias("confidence"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_packed": p6_packed, "p7_found": p7_found, "p8_found": p8_found, "p8_documents": p8_documents}
-SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p4_found": P4_SQL}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_ngrams": p3_ngrams, "p4_found": p4_found, "p5_found": p5_found, "p6_packed": p6_packed, "p7_found": p7_found, "p8_found": p8_found, "p8_documents": p8_documents}
+SQL = {"p1_found": P1_SQL, "p2_found": P2_SQL, "p3_found": P3_SQL, "p3_ngrams": P3_NGRAMS_SQL, "p4_found": P4_SQL}
