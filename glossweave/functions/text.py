@@ -56,7 +56,7 @@ def cap_words(x: Column) -> Column:
 
 
 def first_upper(x: Column) -> Column:
-    return F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1_000_000_000))
+    return F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2)))
 
 
 def alnum_words(x: Column) -> Column:
@@ -66,7 +66,7 @@ def alnum_words(x: Column) -> Column:
 
 def cap_phrase(x: Column) -> Column:
     """A phrase all in capitals as capitalised words; any other as it is."""
-    words = F.transform(alnum_words(x), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000_000))))
+    words = F.transform(alnum_words(x), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
     return F.when(x == F.upper(x), F.array_join(words, " ")).otherwise(x)
 
 
@@ -80,8 +80,13 @@ def split_nonempty(x: Column, separators: str) -> Column:
 
 
 def tokens(x: Column) -> Column:
-    """Runs of letters and digits, and every other visible character by itself."""
-    return F.regexp_extract_all(x, F.lit(r"[A-Za-z0-9]+|[^\sA-Za-z0-9]"), F.lit(0))
+    """Runs of letters and digits of any script, and every other visible character by
+    itself."""
+    return F.regexp_extract_all(x, F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"), F.lit(0))
+
+
+#: Tokens and the white space between them: nothing of a text is left out.
+PIECES = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]|\s+"
 
 
 def plain_quotes(token: Column) -> Column:
@@ -99,6 +104,12 @@ def unescaped(x: Column) -> Column:
     return F.translate(x, "_ ", "  ")
 
 
+def uri_title(uri: Column) -> Column:
+    """The name in the last step of a link or path, percent-decoded, as an entity title."""
+    step = F.regexp_extract(uri, r"([^/]*)$", 1)
+    return entity_title(F.coalesce(percent_decoded(step), step))
+
+
 def entity_title(x: Column) -> Column:
     """A link target as an entity name: unescaped, trimmed, with a first capital."""
     return first_upper(strip(unescaped(x)))

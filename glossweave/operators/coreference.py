@@ -3,11 +3,17 @@ earlier, longer one."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from glossweave.functions import text
+
+#: A run of letters.
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def sequential(mentions: DataFrame, n: int = 30) -> DataFrame:
@@ -19,28 +25,60 @@ def sequential(mentions: DataFrame, n: int = 30) -> DataFrame:
     and cut to ``n``, repeats kept.  A mention is remembered if it found none itself, its
     first candidate is a person (``cands.person``) and it has at least 3 characters.
 
-    Whether a mention is remembered depends on those before it, so this is a fold over a
-    document's mentions, in one expression in the JVM.
+    Whether a mention is remembered depends on those before it, so a document's mentions
+    come to a task in order and are looked at as they stream by.  The names remembered
+    are indexed by their words: one that holds a mention has its first word as a whole.
     """
-    item = F.struct("begin", (F.col("end") - F.col("begin")).alias("width"), "end", "mention", "cands")
-    docs = mentions.where("mention is not null").groupBy("doc").agg(F.sort_array(F.collect_list(item)).alias("xs"))
-    none = F.filter(F.transform("xs", lambda x: F.struct(x["mention"].alias("mention"), x["cands"].alias("cands"))), lambda x: F.lit(False))
-    empty = F.filter(F.transform("xs", lambda x: F.struct(x.alias("m"), x["mention"].alias("super"), x["cands"].alias("cands"))), lambda x: F.lit(False))
-
-    def step(acc: Column, x: Column) -> Column:
-        long_enough = F.length(x["mention"]) >= 3
-        hit = F.get(F.filter(acc["seen"], lambda s: long_enough & text.at_word_boundary(s["mention"], x["mention"])), 0)
-        found = hit.isNotNull()
-        ranked = F.transform(F.concat(x["cands"], hit["cands"]), lambda c: F.struct(c["p"].alias("p"), c["id"].alias("id"), c["person"].alias("person")))
-        merged = F.transform(F.slice(F.sort_array(ranked, asc=False), 1, n), lambda c: F.struct(c["id"].alias("id"), c["p"].alias("p"), c["person"].alias("person")))
-        cands = F.when(found, merged).otherwise(x["cands"])
-        keep = ~found & long_enough & F.coalesce(F.get(x["cands"], 0)["person"], F.lit(False))
-        seen = F.when(keep, F.concat(F.array(F.struct(x["mention"].alias("mention"), x["cands"].alias("cands"))), acc["seen"])).otherwise(acc["seen"])
-        return F.struct(seen.alias("seen"), F.concat(acc["out"], F.array(F.struct(x.alias("m"), hit["mention"].alias("super"), cands.alias("cands")))).alias("out"))
-
-    done = F.aggregate("xs", F.struct(none.alias("seen"), empty.alias("out")), step, lambda a: a["out"])
-    rows = docs.select("doc", F.explode(done).alias("r"))
-    return rows.select("doc", "r.m.begin", "r.m.end", "r.m.mention", "r.super", "r.cands")
+    rows = mentions.where("mention is not null").select("doc", "begin", "end", "mention", "cands")
+    kind = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, seen, first = None, _Seen(), True
+        for batch in batches:
+            supers, lent = [], []
+            for d, mention, cands in zip(*(batch.column(c).to_pylist() for c in (0, 3, 4)), strict=True):
+                if first or d != at:
+                    at, seen, first = d, _Seen(), False
+                found = seen.holder(mention) if len(mention) >= 3 else None
+                if found is None and len(mention) >= 3 and cands and cands[0] and cands[0]["person"]:
+                    seen.add(mention, cands)
+                supers.append(None if found is None else found[0])
+                lent.append(None if found is None else found[1])
+            yield pa.record_batch([*batch.columns, pa.array(supers, pa.string()), pa.array(lent, batch.column(4).type)], names=["doc", "begin", "end", "mention", "cands", "super", "lent"])
+
+    order = ["doc", "begin", F.col("end") - F.col("begin"), "end", "mention", "cands"]
+    schema = ", ".join([*(f"{c} {kind[c]}" for c in ("doc", "begin", "end", "mention", "cands")), f"super string, lent {kind['cands']}"])
+    done = rows.repartition("doc").sortWithinPartitions(*order).mapInArrow(look, schema)
+    ranked = F.transform(F.concat("cands", "lent"), lambda c: F.struct(c["p"].alias("p"), c["id"].alias("id"), c["person"].alias("person")))
+    merged = F.transform(F.slice(F.sort_array(ranked, asc=False), 1, n), lambda c: F.struct(c["id"].alias("id"), c["p"].alias("p"), c["person"].alias("person")))
+    own = F.transform("cands", lambda c: F.struct(c["id"].alias("id"), c["p"].alias("p"), c["person"].alias("person")))
+    return done.select("doc", "begin", "end", "mention", "super", F.when(F.col("super").isNotNull(), merged).otherwise(own).alias("cands"))
+
+
+class _Seen:
+    """The remembered names of a document, by their words."""
+
+    def __init__(self) -> None:
+        self.names: list[tuple[str, list]] = []
+        self.by_word: dict[str, list[int]] = {}
+
+    def add(self, mention: str, cands: list) -> None:
+        for w in set(_LETTERS.findall(mention)):
+            self.by_word.setdefault(w, []).append(len(self.names))
+        self.names.append((mention, cands))
+
+    def holder(self, mention: str) -> tuple[str, list] | None:
+        """The newest name that is longer and holds the mention between non-letters."""
+        word = _LETTERS.search(mention)
+        for i in reversed(self.by_word.get(word[0], []) if word else range(len(self.names))):
+            name = self.names[i][0]
+            at = name.find(mention) if len(name) > len(mention) else -1
+            while at >= 0:
+                end = at + len(mention)
+                if not (at and name[at - 1].isalpha()) and not (end < len(name) and name[end].isalpha()):
+                    return self.names[i]
+                at = name.find(mention, at + 1)
+        return None
 
 
 def by_document(mentions: DataFrame, n: int = 100) -> DataFrame:

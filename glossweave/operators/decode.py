@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from bisect import bisect_left
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,18 +24,30 @@ def greedy(preds: DataFrame, doc: str = "doc", score: str = "score", begin: str
     """Non-overlapping spans: the highest (score, begin, end, entity) first, each taken
     if none of its words is; entity 0 and null take none.
 
-    The fold keeps the spans taken so far, in one row a document.
+    A document's spans come to a task in order and are looked at as they stream by; only
+    those taken are kept, by their ends, so a document of any length costs n log n.
     """
     own = preds.where(F.col(entity).isNotNull() & (F.col(entity).cast("string") != "0") & F.col(score).isNotNull())
-    item = F.struct(F.col(score).alias("s"), F.col(begin).alias("b"), F.col(end).alias("e"), F.col(entity).alias("i"))
-    lists = own.groupBy(F.col(doc).alias("doc")).agg(F.sort_array(F.collect_set(item), asc=False).alias("xs"))
-
-    def take(acc: Column, x: Column) -> Column:
-        clash = F.exists(acc, lambda t: (t["b"] < x["e"]) & (x["b"] < t["e"]))
-        return F.when(clash, acc).otherwise(F.concat(acc, F.array(x)))
-
-    chosen = F.aggregate("xs", F.filter("xs", lambda x: F.lit(False)), take)
-    return lists.select("doc", F.explode(chosen).alias("x")).select("doc", F.col("x.s").alias("score"), F.col("x.b").alias("begin"), F.col("x.e").alias("end"), F.col("x.i").alias("entity"))
+    rows = own.select(F.col(doc).alias("doc"), F.col(score).alias("score"), F.col(begin).alias("begin"), F.col(end).alias("end"), F.col(entity).alias("entity"))
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, begins, ends, first = None, [], [], True
+        for batch in batches:
+            kept = []
+            for i, (d, b, e) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
+                if first or d != at:
+                    at, begins, ends, first = d, [], [], False
+                # Taken spans don't overlap, so of those that begin before ``e`` the last ends last.
+                n = bisect_left(begins, e)
+                if not n or ends[n - 1] <= b:
+                    begins.insert(n, b)
+                    ends.insert(n, e)
+                    kept.append(i)
+            yield batch.take(pa.array(kept, pa.int64()))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    down = [F.desc(c) for c in ("score", "begin", "end", "entity")]
+    return rows.repartition("doc").sortWithinPartitions("doc", *down).mapInArrow(take, kinds)
 
 
 def above(preds: DataFrame, threshold: float, score: str = "score") -> DataFrame:
@@ -46,12 +62,54 @@ def first_of_each(preds: DataFrame, per: list[str], order: list[str]) -> DataFra
 
 def nearest_given(preds: DataFrame, given: DataFrame, doc: str = "doc") -> DataFrame:
     """Every predicted span with the given span of its document that has the smallest
-    distance of both ends, then the first."""
-    both = preds.join(given.select(doc, F.col("begin").alias("given_begin"), F.col("end").alias("given_end")), doc)
-    far = F.abs(F.col("begin") - F.col("given_begin")) + F.abs(F.col("end") - F.col("given_end"))
-    keys = [c for c in preds.columns]
-    near = both.withColumn("_f", far).groupBy(*keys).agg(F.min(F.struct(F.col("_f").alias("distance"), "given_begin", "given_end")).alias("_m"))
-    return near.select(*keys, "_m.*")
+    distance of both ends, then the first; documents without given spans give nothing.
+
+    The given spans of a document come to a task before its predictions.  A prediction
+    looks at them from its own begin outwards, no farther than the best distance so far.
+    """
+    fields = [f for f in preds.schema.fields if f.name != doc]
+    rest = F.struct(*[f.name for f in fields])
+    kind = {f.name: f.dataType.simpleString() for f in preds.schema.fields}
+    own = preds.select(F.col(doc).alias("doc"), F.lit(1).alias("side"), F.col("begin").cast("bigint").alias("b"), F.col("end").cast("bigint").alias("e"), rest.alias("rest"))
+    other = given.select(F.col(doc).alias("doc"), F.lit(0).alias("side"), F.col("begin").cast("bigint").alias("b"), F.col("end").cast("bigint").alias("e"), F.lit(None).cast(own.schema["rest"].dataType).alias("rest"))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, spans, first = None, [], True
+        for batch in batches:
+            rows, best = [], []
+            for i, (d, side, b, e) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                if first or d != at:
+                    at, spans, first = d, [], False
+                if not side:
+                    spans.append((b, e))
+                elif spans:
+                    rows.append(i)
+                    best.append(_nearest(spans, b, e))
+            at_rows = pa.array(rows, pa.int64())
+            made = [pa.array([x[j] for x in best], pa.int64()) for j in range(3)]
+            yield pa.record_batch([batch.column(0).take(at_rows), batch.column(4).take(at_rows), *made], names=["doc", "rest", "distance", "given_begin", "given_end"])
+
+    inner = ", ".join(f"{f.name}:{f.dataType.simpleString()}" for f in fields)
+    both = own.unionByName(other).where("doc is not null").repartition("doc").sortWithinPartitions("doc", "side", "b", "e")
+    near = both.mapInArrow(look, f"doc {kind[doc]}, rest struct<{inner}>, distance bigint, given_begin bigint, given_end bigint")
+    return near.select(*(F.col("doc").alias(doc) if c == doc else F.col(f"rest.{c}").alias(c) for c in preds.columns), "distance", "given_begin", "given_end")
+
+
+def _nearest(spans: list[tuple[int, int]], begin: int, end: int) -> tuple[int, int, int]:
+    """(distance, begin, end) of the nearest of sorted spans."""
+    right = bisect_left(spans, (begin,))
+    left = right - 1
+    best = None
+    while True:
+        for i in (left, right):
+            if 0 <= i < len(spans):
+                b, e = spans[i]
+                found = (abs(b - begin) + abs(e - end), b, e)
+                best = found if best is None else min(best, found)
+        left, right = left - 1, right + 1
+        more = (left >= 0 and begin - spans[left][0] <= best[0]) or (right < len(spans) and spans[right][0] - begin <= best[0])
+        if not more:
+            return best
 
 
 def word_to_char(spans: DataFrame, offsets: DataFrame, doc: str = "doc") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from glossweave.operators import ordered
+
 EPS = 1e-6
 SPAN = ["doc", "begin", "end", "entity"]
 
@@ -16,11 +18,25 @@ def strong_matched(preds: DataFrame, gold: DataFrame) -> DataFrame:
     return preds.join(hits, SPAN, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
+def _overlapping(own: DataFrame, other: DataFrame, begin: str, end: str, width: int = 32) -> DataFrame:
+    """Spans joined with those of the same document and entity that overlap them.
+
+    Both are dealt to stretches of ``width`` positions, so a hot document and entity is
+    many groups; a pair that meets in several stretches comes out of its first only.
+    """
+    def dealt(df: DataFrame, b: str, e: str) -> DataFrame:
+        return df.where(F.col(b) < F.col(e)).withColumn("_bin", F.explode(F.sequence(F.floor(F.col(b) / width), F.floor((F.col(e) - 1) / width))))
+
+    both = dealt(own, "begin", "end").join(dealt(other, begin, end), ["doc", "entity", "_bin"])
+    first = F.floor(F.greatest("begin", begin) / width)
+    return both.where((F.col("begin") < F.col(end)) & (F.col(begin) < F.col("end")) & (F.col("_bin") == first)).drop("_bin")
+
+
 def weak_matched(preds: DataFrame, gold: DataFrame) -> DataFrame:
     """Predictions with a flag: a gold mention of the same entity overlaps the span."""
     own = preds.select(*SPAN).distinct()
     other = gold.select("doc", "entity", F.col("begin").alias("gb"), F.col("end").alias("ge")).distinct()
-    hits = own.join(other, ["doc", "entity"]).where("begin < ge and gb < end").select(*SPAN, F.lit(True).alias("matched")).distinct()
+    hits = _overlapping(own, other, "gb", "ge").select(*SPAN, F.lit(True).alias("matched")).distinct()
     return preds.join(hits, SPAN, "left").withColumn("matched", F.coalesce("matched", F.lit(False)))
 
 
@@ -29,7 +45,7 @@ def gold_scores(preds: DataFrame, gold: DataFrame, weak: bool = True, missing: f
     own = gold.select(*SPAN).distinct()
     if weak:
         other = preds.select("doc", "entity", F.col("begin").alias("pb"), F.col("end").alias("pe"), "score")
-        hits = own.join(other, ["doc", "entity"]).where("begin < pe and pb < end")
+        hits = _overlapping(own, other, "pb", "pe")
     else:
         hits = own.join(preds.select(*SPAN, "score"), SPAN)
     best = hits.groupBy(*SPAN).agg(F.max("score").alias("score"))
@@ -63,14 +79,16 @@ def micro_macro(by_doc: DataFrame, by: list[str] | None = None) -> DataFrame:
 def threshold_sweep(preds: DataFrame, gold: DataFrame, weak: bool = True) -> DataFrame:
     """(threshold, tp, fp, fn, f1) at every score that occurs, highest first.
 
-    Equal scores form one step, so the sums run over distinct scores only.
+    Equal scores form one step, so the sums run over distinct scores only, by ranges of
+    scores.
     """
     flagged = (weak_matched if weak else strong_matched)(preds, gold)
     p = flagged.groupBy("score").agg(F.sum(F.col("matched").cast("bigint")).alias("t"), F.sum((~F.col("matched")).cast("bigint")).alias("f"))
     g = gold_scores(preds, gold, weak).groupBy("score").agg(F.count("*").alias("g"))
     steps = p.join(g, "score", "full").select("score", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("t", "f", "g")))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    rows = steps.select("score", F.sum("t").over(down).alias("tp"), F.sum("f").over(down).alias("fp"), (F.sum("g").over(Window.partitionBy()) - F.sum("g").over(down)).alias("fn"))
+    all_gold = steps.agg(F.coalesce(F.sum("g"), F.lit(0)).alias("all_g"))
+    down = ordered.running(steps, [F.desc("score")], {"tp": "t", "fp": "f", "found": "g"})
+    rows = down.join(F.broadcast(all_gold)).select("score", "tp", "fp", (F.col("all_g") - F.col("found")).alias("fn"))
     pr, rc = F.col("tp") / (F.col("tp") + F.col("fp") + EPS), F.col("tp") / (F.col("tp") + F.col("fn") + EPS)
     return rows.select(F.col("score").alias("threshold"), "tp", "fp", "fn", _f1(pr, rc).alias("f1"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glossweave.functions import text, vectors
+from glossweave.operators import ordered
 
 
 def histogram(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
@@ -27,8 +28,7 @@ def sample_intervals(freq: DataFrame, key: str, n: str, power: float = 1.0, floo
     """Half-open intervals [lo, hi) of sizes max(n, floor)^power, one after the other by
     key, for weighted draws."""
     size = F.pow(F.greatest(F.col(n).cast("double"), F.lit(float(floor))), F.lit(power))
-    upto = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    rows = freq.withColumn("_s", size).withColumn("hi", F.sum("_s").over(upto))
+    rows = ordered.running(freq.withColumn("_s", size), [F.col(key)], {"hi": "_s"})
     return rows.select(key, (F.col("hi") - F.col("_s")).alias("lo"), "hi")
 
 

@@ -153,7 +153,7 @@ def span_embedding(words: Column, begin: Column, end: Column, scores: Column) ->
     own = F.slice(words, begin.cast("int") + 1, (end - begin).cast("int"))
     share = vectors.softmax(F.slice(scores, begin.cast("int") + 1, (end - begin).cast("int")))
     parts = F.zip_with(own, share, lambda v, s: vectors.scaled(v, s))
-    head = F.aggregate(F.slice(parts, 2, 1_000_000), F.element_at(parts, 1), vectors.added)
+    head = F.aggregate(F.slice(parts, F.lit(2), F.size(parts)), F.element_at(parts, 1), vectors.added)
     as_double = lambda v: F.transform(v, lambda x: x.cast("double"))
     return F.concat(as_double(F.element_at(own, 1)), as_double(F.element_at(own, -1)), head)
 

@@ -15,7 +15,7 @@ from glossweave.sources import readers, writers
 QUERIES: dict = {}
 SQL: dict = {}
 O, W = part_counts_sql("O"), part_counts_sql("F")
-TOKENS = r"'[A-Za-z0-9]+|[^\sA-Za-z0-9]'"
+TOKENS = r"'[\p{L}\p{N}]+|[^\s\p{L}\p{N}]'"
 
 
 def query(sql: str | None = None):

@@ -63,7 +63,7 @@ def dictionary(spark: SparkSession, path: str, scored: bool = True) -> DataFrame
     """``mention⇥total⇥id,score,name⇥...`` lines as (mention, total, pos, entity_id, score,
     name); without scores the entries are ``id,name`` and the score is null."""
     f = F.split("value", "\t")
-    rows = spark.read.text(path).where(F.size(f) >= 2).select(F.get(f, 0).alias("mention"), F.get(f, 1).try_cast("bigint").alias("total"), F.posexplode(F.slice(f, 3, 1_000_000)).alias("pos", "e"))
+    rows = spark.read.text(path).where(F.size(f) >= 2).select(F.get(f, 0).alias("mention"), F.get(f, 1).try_cast("bigint").alias("total"), F.posexplode(F.slice(f, F.lit(3), F.size(f))).alias("pos", "e"))
     e = F.split("e", ",", 3 if scored else 2)
     out = rows.select("mention", "total", F.col("pos").cast("bigint").alias("pos"), F.get(e, 0).try_cast("bigint").alias("entity_id"), (F.get(e, 1).try_cast("double") if scored else F.lit(None).cast("double")).alias("score"), F.get(e, 2 if scored else 1).alias("name"))
     return out.where("entity_id is not null and total is not null")
@@ -153,11 +153,11 @@ def raw_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of a header, a ``text:`` line, a count and ``start_z_length_z_[uris]`` lines
     as (doc, text, annotations)."""
     order = Window.partitionBy("file").orderBy("line_no")
-    doc = F.last(F.when(F.col("line").startswith("DOCSTART_"), F.substring("line", 10, 10_000)), ignorenulls=True).over(order)
+    doc = F.last(F.when(F.col("line").startswith("DOCSTART_"), F.substr("line", F.lit(10))), ignorenulls=True).over(order)
     rows = lines(spark, path).withColumn("doc", doc).where("doc is not null")
     ann = r"^(\d+)_z_(\d+)_z_\[(.*)\]$"
     a = F.when(F.col("line").rlike(ann), F.struct(F.regexp_extract("line", ann, 1).cast("int").alias("start"), F.regexp_extract("line", ann, 2).cast("int").alias("length"), F.split(F.regexp_extract("line", ann, 3), r",\s*").alias("uris")))
-    body = F.max(F.when(F.col("line").startswith("text: "), F.substring("line", 7, 10_000_000)))
+    body = F.max(F.when(F.col("line").startswith("text: "), F.substr("line", F.lit(7))))
     return rows.groupBy("file", "doc").agg(body.alias("text"), F.sort_array(F.collect_list(a)).alias("annotations")).drop("file")
 
 
@@ -204,7 +204,7 @@ def text_vectors(spark: SparkSession, path: str, id_type: str = "string") -> Dat
     """(word, vec) of lines of a word or id and its numbers."""
     f = F.split("value", r"\s+")
     rows = spark.read.text(path).select(text.strip(F.col("value")).alias("value")).where(F.size(f) > 2)
-    return rows.select(F.get(f, 0).cast(id_type).alias("word"), F.slice(f, 2, 1_000_000).cast("array<float>").alias("vec"))
+    return rows.select(F.get(f, 0).cast(id_type).alias("word"), F.slice(f, F.lit(2), F.size(f)).cast("array<float>").alias("vec"))
 
 
 def relatedness(spark: SparkSession, path: str) -> DataFrame:
