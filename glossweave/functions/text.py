@@ -94,6 +94,24 @@ def plain_quotes(token: Column) -> Column:
     return F.when(token.isin("``", "''", "“", "”", "„", "«", "»"), '"').otherwise(token)
 
 
+def token_places(tokens: Column, body: Column) -> Column:
+    """Where each token begins in its text, from 0, looked for behind the one before it; a
+    quote is found in any of its spellings, and a token that is not there has -1."""
+    quote = r"``|''|[\"“”„«»]"
+
+    def step(acc: Column, t: Column) -> Column:
+        rest = F.substr(body, acc["at"] + 1)
+        plain = F.instr(rest, t)
+        quoted = F.regexp_instr(rest, F.lit(quote))
+        found = F.when(t.rlike(f"^(?:{quote})$"), quoted).otherwise(plain)
+        size = F.when(t.rlike(f"^(?:{quote})$"), F.length(F.regexp_extract(rest, quote, 0))).otherwise(F.length(t))
+        here = F.when(found > 0, acc["at"] + found - 1).otherwise(-1)
+        return F.struct(F.when(found > 0, acc["at"] + found - 1 + size).otherwise(acc["at"]).cast("int").alias("at"), F.concat(acc["out"], F.array(here.cast("int"))).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(tokens, start, step, lambda a: a["out"])
+
+
 def alnum_only(x: Column) -> Column:
     return F.regexp_replace(x, r"[^\p{L}\p{N}]", "")
 

@@ -120,7 +120,9 @@ def word_to_char(spans: DataFrame, offsets: DataFrame, doc: str = "doc") -> Data
 
 
 def responses(preds: DataFrame, doc: str = "doc") -> DataFrame:
-    """One JSON list of [start, length, title] a document, in order of the start."""
+    """One JSON list of [start, length, title] lists a document, in order of the start."""
     item = F.struct(F.col("start"), F.col("length"), F.col("title"))
     lists = preds.groupBy(doc).agg(F.sort_array(F.collect_list(item)).alias("_a"))
-    return lists.select(doc, F.to_json("_a").alias("response"))
+    # A list of one title is written as JSON by itself, so that it is escaped.
+    one = lambda a: F.concat(F.lit("["), a["start"].cast("string"), F.lit(","), a["length"].cast("string"), F.lit(","), F.substr(F.to_json(F.array(a["title"])), F.lit(2)))
+    return lists.select(doc, F.concat(F.lit("["), F.array_join(F.transform("_a", one), ","), F.lit("]")).alias("response"))

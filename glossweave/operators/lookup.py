@@ -15,6 +15,12 @@ def last_line_wins(entities: DataFrame, by: str) -> DataFrame:
     return entities.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
 
 
+def reversed_map(entries: DataFrame, key: str, value: str) -> DataFrame:
+    """A map turned round, (value, key); a value of several keys is an error."""
+    rows = entries.groupBy(value).agg(F.count_distinct(key).alias("_n"), F.max(key).alias(key))
+    return rows.select(value, F.when(F.col("_n") == 1, F.col(key)).otherwise(F.raise_error(F.concat(F.lit("several keys for "), F.col(value).cast("string")))).alias(key))
+
+
 def without(entities: DataFrame, excluded: DataFrame, on: str) -> DataFrame:
     return entities.join(excluded.select(on).distinct(), on, "left_anti")
 

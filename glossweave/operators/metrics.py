@@ -98,14 +98,45 @@ def best_threshold(preds: DataFrame, gold: DataFrame, weak: bool = True) -> Data
     return threshold_sweep(preds, gold, weak).orderBy(F.desc("f1"), F.desc("threshold")).limit(1)
 
 
-def candidate_recall(gold: DataFrame, cands: DataFrame) -> DataFrame:
-    """(doc, begin, end, entity, outcome): ``no_span`` if the gold span was not generated,
-    ``no_entity`` if its entity is no candidate there, else ``hit``."""
+def per_dataset(preds: DataFrame, gold: DataFrame, dataset: Column, validation: Column, weak: bool = True) -> DataFrame:
+    """Micro and macro figures of every data set at one threshold, that of the highest F1
+    on the documents that ``validation`` is true for; these are not evaluated.
+
+    ``dataset`` and ``validation`` are expressions of ``doc``.
+    """
+    best = best_threshold(preds.where(validation), gold.where(validation), weak).select("threshold").first()
+    threshold = best["threshold"] if best else 0.0
+    by_doc = confusion(preds.where(~validation), gold.where(~validation), threshold, weak)
+    return micro_macro(by_doc.withColumn("dataset", dataset), ["dataset"]).withColumn("threshold", F.lit(threshold))
+
+
+def gold_position_buckets(gold: DataFrame, cands: DataFrame, chosen: DataFrame, edges: list[int]) -> DataFrame:
+    """Gold mentions by the place of their entity among the candidates, with the shares
+    that are solved and that have the right winner.
+
+    ``chosen``: (doc, begin, end, entity, kept), the winner of every span and whether it
+    was annotated.  A mention belongs to the first of the ascending ``edges`` that is not
+    below its place; mentions whose entity is no candidate to none.
+    """
+    at = gold.select(*SPAN).distinct().join(cands, SPAN).groupBy(*SPAN).agg(F.min("pos").alias("pos"))
+    won = chosen.groupBy(*SPAN).agg(F.max("kept").alias("kept"))
+    rows = at.join(won, SPAN, "left")
+    edge = F.lit(None).cast("bigint")
+    for e in reversed(edges):
+        edge = F.when(F.col("pos") <= e, F.lit(e).cast("bigint")).otherwise(edge)
+    share = lambda c: F.avg(c.cast("double"))
+    return rows.groupBy(edge.alias("upto")).agg(F.count("*").alias("mentions"), share(F.coalesce("kept", F.lit(False))).alias("solved"), share(F.col("kept").isNotNull()).alias("winner")).where("upto is not null")
+
+
+def candidate_recall(gold: DataFrame, cands: DataFrame, width: int = 10) -> DataFrame:
+    """(doc, begin, end, entity, outcome, too_wide): ``no_span`` if the gold span was not
+    generated, ``no_entity`` if its entity is no candidate there, else ``hit``; and
+    whether it has more than ``width`` words."""
     own = gold.select(*SPAN).distinct()
     spans = cands.select("doc", "begin", "end", F.lit(1).alias("_s")).distinct()
     ents = cands.select(*SPAN, F.lit(1).alias("_e")).distinct()
     rows = own.join(spans, ["doc", "begin", "end"], "left").join(ents, SPAN, "left")
-    return rows.select(*SPAN, F.when(F.col("_s").isNull(), "no_span").when(F.col("_e").isNull(), "no_entity").otherwise("hit").alias("outcome"))
+    return rows.select(*SPAN, F.when(F.col("_s").isNull(), "no_span").when(F.col("_e").isNull(), "no_entity").otherwise("hit").alias("outcome"), (F.col("end") - F.col("begin") > width).alias("too_wide"))
 
 
 def ranked(df: DataFrame, query: str, item: str, score: str) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from glossweave.operators import reports
+from glossweave.operators import ordered, reports
 
 
 def with_gold_position(mentions: DataFrame, cands: str = "cands", gold: str = "gold") -> DataFrame:
@@ -79,6 +80,15 @@ def training_pairs(positives: DataFrame, intervals: DataFrame, negatives: int, t
     return drawn.select("entity", "word", F.col("n").cast("bigint").alias("n"), "negative")
 
 
+def padded_batches(df: DataFrame, order: list[str], column: str, size: int, fill: int = 0) -> DataFrame:
+    """(batch, place, rest of the columns, column, length): rows in batches of ``size`` in
+    an order that tells all apart, their lists filled up to the longest of the batch."""
+    n = ordered.running(df.withColumn("_one", F.lit(1).cast("bigint")), [F.col(c) for c in order], {"_n": "_one"}).drop("_one")
+    rows = n.withColumns({"batch": F.floor((F.col("_n") - 1) / size).cast("bigint"), "place": (F.col("_n") - 1) % size, "length": F.size(column)}).drop("_n")
+    longest = F.max("length").over(Window.partitionBy("batch"))
+    return rows.withColumn(column, F.concat(column, F.array_repeat(F.lit(fill).cast(df.schema[column].dataType.elementType), (longest - F.col("length")).cast("int"))))
+
+
 def shuffled_epochs(df: DataFrame, key: str, times: int, seed: int = 0) -> DataFrame:
     """A table ``times`` over, each epoch in an order of its own that repeats by seed."""
     rows = df.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(times))))

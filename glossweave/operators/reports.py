@@ -88,6 +88,18 @@ def experiment_rows(lines: DataFrame) -> DataFrame:
     return rows.where("average is not null").select("run", "eval_cnt", "mode", "dataset", "average", part(2).alias("p"), part(3).alias("r"), part(4).alias("f1"))
 
 
+def thresholds(lines: DataFrame) -> DataFrame:
+    """(run, line_no, threshold, f1) of the best thresholds in training logs."""
+    best = r"Best validation threshold\s*=\s*([-0-9.eE]+)\s+with F1\s*=\s*([0-9.]+)"
+    part = lambda i: F.regexp_extract("line", best, i).try_cast("double")
+    return lines.where(F.col("line").rlike(best)).select("run", "line_no", part(1).alias("threshold"), part(2).alias("f1"))
+
+
+def ordered_runs(rows: DataFrame, dev: str, order: str) -> DataFrame:
+    """Runs by their dev figure, the best first."""
+    return rows.orderBy(F.desc(dev), order)
+
+
 def best_runs(rows: DataFrame, group: str, dev: str, order: str) -> DataFrame:
     """The row of the highest dev figure of every group, the earliest of equal ones."""
     w = Window.partitionBy(group).orderBy(F.desc(dev), order)

@@ -104,42 +104,46 @@ def hinge_loss(score: Column, is_gold: Column, margin: float = 0.2) -> Column:
     return F.when(is_gold, F.greatest(F.lit(0.0), F.lit(margin) - score)).otherwise(F.greatest(F.lit(0.0), score))
 
 
-def loopy_beliefs(cands: DataFrame, rounds: int = 10, damping: float = 0.5) -> DataFrame:
+def loopy_beliefs(cands: DataFrame, rounds: int = 10, damping: float = 0.5, weights: list[list[float]] | None = None) -> DataFrame:
     """(doc, span, cand, belief) by damped max-product message passing.
 
-    Spans of a document pass messages over the products of their candidates' vectors,
-    scaled by 2 / spans; beliefs are log-softmax normalised.  A document's matrices stay
-    in one task: they hold (spans x candidates)^2 numbers, so candidates are cut before.
+    A candidate's message from another span is the best, over that span's candidates, of
+    their local score, their product with it (by ``weights``, a matrix between the
+    vectors; none is the identity) times 2 / spans, and the sum of the messages they got
+    themselves; it is made a log-softmax over the span's candidates.  The new message
+    counts by ``damping``, the old one by the rest, as probabilities; a span sends itself
+    0.  Messages begin at 0; beliefs are the local score and all messages, normalised.
+
+    A document's candidates lie in one task, its products only for a block of spans at a
+    time.
     """
     kind = {f.name: f.dataType.simpleString() for f in cands.schema.fields}
+    between = None if weights is None else np.array(weights, float)
 
     def propagate(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["span", "cand"]).reset_index(drop=True)
         span = pd.factorize(pdf["span"])[0]
-        n = int(span.max()) + 1
+        begins = np.flatnonzero(np.r_[True, span[1:] != span[:-1]])
+        n, rows = len(begins), len(pdf)
         x = np.stack(pdf["vec"].to_numpy()).astype(float)
+        y = (x if between is None else x @ between.T).T * (2.0 / n)
         unary = pdf["local"].to_numpy(float)
-        pair = (x @ x.T) * (2.0 / n)
-        rows = [np.flatnonzero(span == i) for i in range(n)]
-        msg = np.zeros((n, len(pdf)))  # msg[i, c]: from span i to candidate c of another span
+
+        def normalised(m: np.ndarray) -> np.ndarray:
+            m = m - np.maximum.reduceat(m, begins)[span]
+            return m - np.log(np.add.reduceat(np.exp(m), begins))[span]
+
+        messages = np.zeros((rows, n))  # messages[c, j]: from span j to candidate c
+        block = max(1, 4_000_000 // max(rows, 1))
         for _ in range(rounds):
-            incoming = msg.sum(0)
-            new = np.zeros_like(msg)
-            for i in range(n):
-                for j in range(n):
-                    if i == j:
-                        continue
-                    base = unary[rows[i]] + incoming[rows[i]] - msg[j][rows[i]]
-                    m = (base[:, None] + pair[np.ix_(rows[i], rows[j])]).max(0)
-                    m = m - m.max() - np.log(np.exp(m - m.max()).sum())
-                    old = msg[i][rows[j]]
-                    new[i, rows[j]] = np.log((1 - damping) * np.exp(m) + damping * np.exp(old))
-            msg = new
-        belief = unary + msg.sum(0)
-        for r in rows:
-            b = belief[r]
-            belief[r] = b - b.max() - np.log(np.exp(b - b.max()).sum())
-        return pdf[["doc", "span", "cand"]].assign(belief=belief)
+            sent = unary + messages.sum(1)
+            new = np.empty_like(messages)
+            for a in range(0, rows, block):
+                new[a : a + block] = np.maximum.reduceat(x[a : a + block] @ y + sent, begins, axis=1)
+            new = normalised(new)
+            new[np.arange(rows), span] = 0
+            messages = np.log((1 - damping) * np.exp(messages) + damping * np.exp(new))
+        return pdf[["doc", "span", "cand"]].assign(belief=normalised(unary + messages.sum(1)))
 
     good = cands.where("vec is not null and local is not null").select("doc", "span", "cand", "local", "vec")
     return good.groupBy("doc").applyInPandas(propagate, f"doc {kind['doc']}, span {kind['span']}, cand {kind['cand']}, belief double")
@@ -219,3 +223,50 @@ def margin_losses(positive: Column, negative: Column, margin: float = 0.1) -> di
     contrast."""
     logistic = lambda x: -F.ln(1 / (1 + F.exp(-x)))
     return {"maxm": F.greatest(F.lit(0.0), F.lit(margin) - positive + negative), "nce": logistic(positive) + logistic(-negative)}
+
+
+def sampling_loss(kind: str, scores: Column, log_p: Column | None = None, margin: float = 0.1) -> Column:
+    """Loss of a list of similarities, that of the positive word first and those of drawn
+    words behind it.
+
+    ``maxm``: mean shortfall of the positive against each drawn one by ``margin``;
+    ``neg``: mean soft margin, the positive towards 1 and the others towards -1; ``nce``:
+    the same less the log of how often each is drawn, ``log_p`` times the draws; ``is``:
+    cross entropy of the positive among all, less ``log_p``.
+    """
+    n = F.size(scores)
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x)
+    if kind == "maxm":
+        first = F.get(scores, 0)
+        return total(F.transform(scores, lambda x, i: F.when(i > 0, F.greatest(F.lit(0.0), F.lit(margin) - first + x)).otherwise(0.0))) / n
+    if kind in ("nce", "is"):
+        assert log_p is not None
+        scores = F.zip_with(scores, log_p, lambda s, p: s - p - (F.ln(n - F.lit(1.0)) if kind == "nce" else F.lit(0.0)))
+    if kind == "is":
+        return F.ln(total(F.transform(scores, F.exp))) - F.get(scores, 0)
+    if kind in ("neg", "nce"):
+        return total(F.transform(scores, lambda x, i: F.ln(1 + F.exp(F.when(i == 0, -x).otherwise(x))))) / n
+    raise ValueError(f"no loss {kind}")
+
+
+def assembled(components: str, cands: DataFrame, context: DataFrame | None = None, dim: int = 64, threshold: float = 0.0) -> DataFrame:
+    """Scores by the components named in a string, such as ``pem_attention_global``.
+
+    ``pem`` adds the log prior, ``attention`` the similarity to the attended context and
+    ``global`` the vote of the other spans' candidates whose local score so far reaches
+    ``threshold``; each counts alike.  Result: the candidates with ``local`` and ``score``.
+    """
+    known = {"pem", "attention", "global"}
+    parts = [c for c in components.split("_") if c]
+    if not parts or set(parts) - known:
+        raise ValueError(f"components are {sorted(known)}, got {components!r}")
+    rows = cands.drop("local").withColumn("local", log_prior("p") if "pem" in parts else F.lit(0.0))
+    if "attention" in parts:
+        if context is None:
+            raise ValueError("attention needs a context")
+        attended = attention(rows, context).withColumnRenamed("score", "_a")
+        rows = rows.join(attended, ["doc", "span", "cand"], "left").withColumn("local", F.col("local") + F.coalesce("_a", F.lit(0.0))).drop("_a")
+    if "global" not in parts:
+        return rows.withColumn("score", F.col("local"))
+    voted = global_votes(rows, voters(rows, threshold=threshold), dim)
+    return voted.withColumn("score", F.col("local") + F.col("vote")).drop("vote")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -37,8 +37,30 @@ def write_dictionary(dictionary: DataFrame, path: str, score: str | None = "n",
 
 
 def write_samples(samples: DataFrame, path: str, by: tuple[str, ...] = ("mode", "dataset")) -> None:
-    """Nested samples, one directory for every mode and dataset."""
-    samples.repartition(*by).write.mode("overwrite").partitionBy(*by).parquet(path)
+    """Nested samples, one directory for every mode and dataset; a large one is written by
+    many tasks, in files of limited size."""
+    samples.write.option("maxRecordsPerFile", 1_000_000).mode("overwrite").partitionBy(*by).parquet(path)
+
+
+def write_settings(settings: dict[str, str], spark: SparkSession, path: str) -> None:
+    spark.createDataFrame(sorted(settings.items()), "key string, value string").write.mode("overwrite").parquet(path)
+
+
+def write_id_maps(ids: DataFrame, path: str) -> None:
+    """An id map (entity_id, row) in both directions, below ``by_id`` and ``by_row``; rows
+    are written from 1."""
+    rows = ids.select("entity_id", (F.col("row") + 1).alias("row"))
+    write_table(rows, f"{path}/by_id")
+    write_table(rows.select("row", "entity_id"), f"{path}/by_row")
+
+
+def report_text(report: DataFrame) -> DataFrame:
+    """(doc, value): a prediction report (doc, begin, end, entity, outcome) as text, one
+    line a span in order, with a legend's mark before it."""
+    mark = F.when(F.col("outcome") == "tp", "+").when(F.col("outcome") == "fp", "!").otherwise("-")
+    line = F.concat(mark, F.lit(" ["), F.col("begin").cast("string"), F.lit(","), F.col("end").cast("string"), F.lit(") "), F.col("entity").cast("string"))
+    lists = report.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("begin", "end", "entity", line.alias("line")))).alias("l"))
+    return lists.select("doc", F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("value"))
 
 
 def write_vocabulary(vocab: DataFrame, path: str) -> None:
