@@ -352,13 +352,15 @@ def _leaks(w: Words, count: np.ndarray, p: Patterns, least: float, gap: int, dou
     if not len(pair):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     known, code = np.unique(pair, return_inverse=True)
-    codes, share, good, bound, lo, hi = passages(code, item_at, pos, p.size[known % n_items], p.m, gap, 4, least)
+    # Distances count from the text's first word, so its neighbours in the batch don't matter.
+    start = end - count
+    codes, share, good, bound, lo, hi = passages(code, item_at, pos - start[pair // n_items], p.size[known % n_items], p.m, gap, 4, least)
     text, item = known[codes] // n_items, known[codes] % n_items
     doubtful = np.flatnonzero(~good & (bound >= least * 2 / 3))
     if len(doubtful):
         spare = 2 * p.size[item[doubtful]]
-        begin = np.maximum(lo[doubtful] - spare, (end - count)[text[doubtful]])
-        stop = np.minimum(hi[doubtful] + spare, end[text[doubtful]])
+        begin = np.maximum(lo[doubtful] - spare, 0) + start[text[doubtful]]
+        stop = np.minimum(hi[doubtful] + spare + start[text[doubtful]], end[text[doubtful]])
         by_letters, enough = _closer(w.letters, p.letters, item[doubtful], w.letter_at[begin], w.letter_at[stop], 6, 6, least)
         share[doubtful] = np.maximum(share[doubtful], by_letters)
         good[doubtful] = enough

@@ -138,3 +138,15 @@ def test_memory_of_passes(spark):
     items = spark.createDataFrame(list(enumerate(ITEMS)), "item bigint, text string")
     out = leakage.leaked(df, "doc", "text", items, "item", "text", items_a_pass=1)
     assert {r["item"] for r in out.collect()} == {0}
+
+
+def test_batches_do_not_matter():
+    texts, _ = docs()
+    p = leakage.compiled(ITEMS)
+    t, i, share = leakage.leaks(texts, p)
+    whole = sorted(zip(t.tolist(), i.tolist(), share.tolist()))
+    alone = []
+    for k, text in enumerate(texts):
+        _, i, share = leakage.leaks([text], p)
+        alone += [(k, *x) for x in zip(i.tolist(), share.tolist())]
+    assert sorted(alone) == whole
