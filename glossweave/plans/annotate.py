@@ -38,3 +38,12 @@ def annotate_corpus(spark: SparkSession, d: str) -> DataFrame:
     links = tables.annotations(spark, d).select("mention", F.col("wikiName").alias("name"))
     pem = mention_dictionary(links, tables.read(spark, d, "entity_names"))
     return annotate(tables.read(spark, d, "documents"), "doc_id", "text", pem)
+
+
+def annotate_response(spark: SparkSession, d: str) -> DataFrame:
+    """(doc, response): the annotations of every text of the corpus as [start, length,
+    title] lists in characters."""
+    found = annotate_corpus(spark, d)
+    offsets = spans.token_offsets(tables.read(spark, d, "documents"), "doc_id", "text")
+    names = tables.read(spark, d, "entity_names").groupBy(F.col("entity_id").alias("entity")).agg(F.replace(F.max("name"), F.lit(" "), F.lit("_")).alias("title"))
+    return decode.responses(decode.word_to_char(found, offsets).join(names, "entity"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from glossweave.functions import text, vectors
 from glossweave.operators import metrics, records, reports, scoring, vector_ops
 from glossweave.plans import tables
-from glossweave.plans.tables import CANDIDATES, VECTOR_CANDIDATES, read, vector_candidates
+from glossweave.plans.tables import CANDIDATES, GOLD, VECTOR_CANDIDATES, read, vector_candidates
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -57,11 +57,11 @@ def entity_cosine(s, d):
 
 
 @query(f"""
-SELECT label AS "group", {', '.join(f'round(avg(embedding[{i + 1}]::DOUBLE), 6) AS v{i}' for i in (0, 31, 63))} FROM embeddings GROUP BY 1""")
+SELECT label AS "group", [{', '.join(f'round(avg(embedding[{i + 1}]::DOUBLE), 6)' for i in range(DIM))}] AS vec FROM embeddings GROUP BY 1""")
 def mean_pool(s, d):
     rows = _vectors(s, d)
     pooled = vector_ops.mean_pooled(rows, rows, "label", "id", DIM)
-    return pooled.select("group", *(F.round(F.get("vec", i), 6).alias(f"v{i}") for i in (0, 31, 63)))
+    return pooled.select("group", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
 @query(f"""
@@ -76,13 +76,13 @@ def partition_sums(s, d):
 @query("""
 WITH c AS (SELECT chunk_id || '/' || span_num AS mention, cand_entity AS cand, max(1.0::DOUBLE / (cand_pos + 1)) AS p, max(final_score)::DOUBLE AS ctx FROM fp_weak_log
   WHERE chunk_id IS NOT NULL AND span_num IS NOT NULL AND cand_entity IS NOT NULL AND cand_pos IS NOT NULL AND final_score IS NOT NULL AND NOT isnan(final_score) GROUP BY ALL),
-a AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY ctx DESC, cand) <= 1 AS by_context FROM c),
-b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY mention ORDER BY by_context DESC, p DESC, cand) <= 2)
+a AS (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY ctx DESC, cand) <= 3 AS by_context FROM c),
+b AS (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY mention ORDER BY by_context DESC, p DESC, cand) <= 7)
 SELECT mention, cand, round(p, 6) AS p, by_context, row_number() OVER (PARTITION BY mention ORDER BY p DESC, cand) AS rank FROM b""")
 def rerank_union_fill(s, d):
     rows = read(s, d, "fp_weak_log").where("chunk_id is not null and span_num is not null and cand_entity is not null and cand_pos is not null and final_score is not null and not isnan(final_score)")
     cands = rows.groupBy(F.concat_ws("/", "chunk_id", F.col("span_num").cast("string")).alias("mention"), F.col("cand_entity").alias("cand")).agg(F.max(1.0 / (F.col("cand_pos") + 1)).alias("p"), F.max("final_score").cast("double").alias("ctx"))
-    return vector_ops.reranked(cands, 1, 2).select("mention", "cand", F.round("p", 6).alias("p"), "by_context", "rank")
+    return vector_ops.reranked(cands, 3, 7).select("mention", "cand", F.round("p", 6).alias("p"), "by_context", "rank")
 
 
 @query(f"""
@@ -137,15 +137,36 @@ def score_combine(s, d):
 
 
 @query(f"""
-SELECT doc, round(sum(CASE WHEN entity % 2 = 0 THEN greatest(0.0::DOUBLE, 0.2 - score) ELSE greatest(0.0::DOUBLE, score) END), 4) AS loss FROM ({CANDIDATES})
+SELECT c.doc, round(sum(CASE WHEN g.entity IS NOT NULL THEN greatest(0.0::DOUBLE, 0.2 - score) ELSE greatest(0.0::DOUBLE, score) END), 4) AS loss
+FROM ({CANDIDATES}) c LEFT JOIN (SELECT DISTINCT * FROM ({GOLD})) g ON g.doc = c.doc AND g."begin" = c."begin" AND g."end" = c."end" AND g.entity = c.entity
 WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY 1""")
 def hinge_loss(s, d):
-    rows = tables.span_candidates(s, d).where("score is not null and not isnan(score)")
-    loss = scoring.hinge_loss(F.col("score"), F.coalesce(F.col("entity") % 2 == 0, F.lit(False)))
+    gold = tables.gold(s, d).distinct().withColumn("hit", F.lit(True))
+    rows = tables.span_candidates(s, d).where("score is not null and not isnan(score)").join(gold, ["doc", "begin", "end", "entity"], "left")
+    loss = scoring.hinge_loss(F.col("score"), F.coalesce("hit", F.lit(False)))
     return rows.groupBy("doc").agg(F.round(F.sum(loss), 4).alias("loss"))
 
 
-@query()
+def _belief_sql(rounds: int) -> str:
+    """The rounds one after the other, every message a row."""
+    steps = [f"""
+WITH v AS MATERIALIZED ({VECTOR_CANDIDATES}), n AS (SELECT doc, count(DISTINCT span) AS n FROM v GROUP BY 1),
+x AS MATERIALIZED (SELECT a.doc, a.span AS i, a.cand AS ic, b.span AS j, b.cand AS jc, b.local + 2.0 / n * list_dot_product(a.vec, b.vec) AS s FROM v a JOIN v b ON a.doc = b.doc JOIN n ON n.doc = a.doc),
+m0 AS MATERIALIZED (SELECT DISTINCT doc, i, ic, j, 0.0::DOUBLE AS q FROM x)"""]
+    for r in range(rounds):
+        steps.append(f"""
+g{r} AS MATERIALIZED (SELECT doc, i AS j, ic AS jc, sum(q) AS g FROM m{r} GROUP BY ALL),
+w{r} AS MATERIALIZED (SELECT x.doc, i, ic, x.j, max(s + g) AS w FROM x JOIN g{r} g ON g.doc = x.doc AND g.j = x.j AND g.jc = x.jc GROUP BY ALL),
+l{r} AS MATERIALIZED (SELECT doc, i, j, ln(sum(exp(w))) AS l FROM w{r} GROUP BY ALL),
+m{r + 1} AS MATERIALIZED (SELECT w.doc, w.i, w.ic, w.j, ln(0.5 * exp(m.q) + 0.5 * CASE WHEN w.i = w.j THEN 1.0 ELSE exp(w.w - l.l) END) AS q
+  FROM w{r} w JOIN m{r} m ON m.doc = w.doc AND m.i = w.i AND m.ic = w.ic AND m.j = w.j JOIN l{r} l ON l.doc = w.doc AND l.i = w.i AND l.j = w.j)""")
+    steps.append(f"""
+b AS (SELECT v.doc, v.span, v.cand, v.local + g AS b FROM v JOIN (SELECT doc, i, ic, sum(q) AS g FROM m{rounds} GROUP BY ALL) m ON m.doc = v.doc AND m.i = v.span AND m.ic = v.cand)
+SELECT doc, span, cand, round(b - ln(sum(exp(b)) OVER (PARTITION BY doc, span)), 6) AS belief FROM b""")
+    return ",".join(steps)
+
+
+@query(_belief_sql(10))
 def lbp_marginals(s, d):
     return scoring.loopy_beliefs(vector_candidates(s, d)).withColumn("belief", F.round("belief", 6))
 
@@ -153,8 +174,10 @@ def lbp_marginals(s, d):
 @query(f"""
 SELECT string_split(doc, '/')[1] AS chunk, span, entity, round(avg(score), 6) AS score FROM ({CANDIDATES}) WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY ALL""")
 def ensemble_mean(s, d):
-    rows = tables.span_candidates(s, d).where("score is not null and not isnan(score)").withColumn("chunk", F.get(F.split("doc", "/"), 0))
-    return scoring.ensemble([rows], ["chunk", "span", "entity"]).withColumn("score", F.round("score", 6))
+    """The encoder's two modes as two runs over the same chunks."""
+    rows = tables.span_candidates(s, d).where("score is not null and not isnan(score)").withColumns({"chunk": F.get(F.split("doc", "/"), 0), "mode": F.get(F.split("doc", "/"), 1)})
+    runs = [rows.where(F.col("mode") == m) for m in ("gmonly", "allspans")]
+    return scoring.ensemble(runs, ["chunk", "span", "entity"]).withColumn("score", F.round("score", 6))
 
 
 RANKING = "SELECT l_orderkey AS q, l_partkey AS item, max(l_extendedprice) AS score, max((l_returnflag = 'R')::INT)::BIGINT AS label FROM lineitem GROUP BY ALL"
@@ -236,12 +259,12 @@ def entity_neighbours_missing_words(s, d):
 
 
 @query(r"""
-SELECT doc_id, upper(substr(text, 1, 1)) || substr(text, 2) AS capital, regexp_replace(text, '[^A-Za-z0-9]', '', 'g') AS letters,
+SELECT doc_id, CASE WHEN text[1] = 'ß' THEN 'SS' ELSE upper(substr(text, 1, 1)) END || substr(text, 2) AS capital, regexp_replace(text, '[^A-Za-z0-9]', '', 'g') AS letters,
   array_to_string(list_filter(regexp_split_to_array(text, '[ ,]'), lambda t: t <> ''), '|') AS fields, lower(text) AS low, len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS words
-FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text[1], 'ß')""")
+FROM documents WHERE text IS NOT NULL""")
 def text_functions(s, d):
     t = F.col("text")
-    rows = read(s, d, "documents").where("text is not null and not text like 'ß%'")
+    rows = read(s, d, "documents").where("text is not null")
     return rows.select("doc_id", text.first_upper(t).alias("capital"), F.regexp_replace(t, "[^A-Za-z0-9]", "").alias("letters"), F.array_join(text.split_nonempty(t, " ,"), "|").alias("fields"), F.lower(t).alias("low"), F.size(text.alnum_words(t)).cast("bigint").alias("words"))
 
 
@@ -253,7 +276,7 @@ def voter_report(s, d):
 
 
 @query(f"""
-WITH v AS ({VECTOR_CANDIDATES}), w AS (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY doc, span ORDER BY local DESC, cand) = 1)
+WITH v AS MATERIALIZED ({VECTOR_CANDIDATES}), w AS MATERIALIZED (SELECT * FROM v QUALIFY row_number() OVER (PARTITION BY doc, span ORDER BY local DESC, cand) = 1)
 SELECT w.doc, w.span, w.cand, v.span AS voter_span, v.cand AS voter, round({_dot('w.vec', 'v.vec')}, 6) AS product FROM w JOIN v ON v.doc = w.doc AND v.span <> w.span AND v.local >= 0.5""")
 def voter_products(s, d):
     cands = vector_candidates(s, d)
@@ -262,8 +285,8 @@ def voter_products(s, d):
 
 
 @query(f"""
-WITH v AS ({VECTOR_CANDIDATES}),
-b AS (SELECT a.doc, a.span, a.cand, o.span AS os, max({_dot('a.vec', 'o.vec')}) AS m FROM v a JOIN v o ON o.doc = a.doc AND o.span <> a.span GROUP BY ALL),
+WITH v AS MATERIALIZED ({VECTOR_CANDIDATES}),
+b AS MATERIALIZED (SELECT a.doc, a.span, a.cand, o.span AS os, max({_dot('a.vec', 'o.vec')}) AS m FROM v a JOIN v o ON o.doc = a.doc AND o.span <> a.span GROUP BY ALL),
 t AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY doc, span, cand ORDER BY m DESC) <= 3)
 SELECT doc, span, cand, round(avg(m), 6) AS vote FROM t GROUP BY ALL""")
 def pairwise_votes(s, d):
@@ -284,3 +307,69 @@ def training_pairs(s, d):
     intervals = reports.sample_intervals(freq, "word", "n", 0.6)
     total = intervals.agg(F.max("hi")).collect()[0][0] or 1.0
     return records.training_pairs(words, intervals, 5, total, max(total / 64, 1.0))
+
+
+@query(f"""
+WITH n AS (SELECT a.label AS entity, b.vec_id::VARCHAR AS word, row_number() OVER (PARTITION BY a.vec_id ORDER BY {_dot('a.embedding', 'b.embedding')} DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 QUALIFY rank <= 5),
+t AS (SELECT label AS entity, vec_id::VARCHAR AS word, 1 + vec_id % 3 AS tf FROM embeddings)
+SELECT n.entity, n.word, n.rank, coalesce(tf, 0) AS tf FROM n LEFT JOIN t USING (entity, word)""")
+def entity_neighbours_annotated(s, d):
+    """The stated query set (ids divisible by 20) against all rows, with the words' counts."""
+    rows = _vectors(s, d)
+    near = vector_ops.top_products(rows.select("id", "vec").where("id % 20 = 0"), rows.select("id", "vec"), 5)
+    labelled = near.join(rows.select(F.col("id").alias("query"), "label"), "query").select(F.col("label").alias("entity"), F.col("item").cast("string").alias("word"), "rank")
+    freq = rows.select(F.col("label").alias("entity"), F.col("id").cast("string").alias("word"), (1 + F.col("id") % 3).alias("tf"))
+    return vector_ops.annotated_neighbours(labelled, freq)
+
+
+@query(f"""
+WITH t AS (SELECT {', '.join(f'sum(embedding[{i + 1}]::DOUBLE) AS s{i}' for i in range(DIM))} FROM embeddings), u AS (SELECT [{', '.join(f's{i}' for i in range(DIM))}] AS v FROM t),
+p AS (SELECT vec_id AS key, {_dot('embedding', 'v')} AS value FROM embeddings, u),
+r AS (SELECT *, row_number() OVER (ORDER BY value DESC, key) AS a, row_number() OVER (ORDER BY value, key) AS b FROM p)
+SELECT 'top' AS "end", a AS rank, key, round(value, 4) AS value FROM r WHERE a <= 10 UNION ALL SELECT 'bottom', b, key, round(value, 4) FROM r WHERE b <= 10""")
+def partition_sum_extremes(s, d):
+    """The report of the ten words of the highest and the lowest sums."""
+    rows = _vectors(s, d)
+    sums = vector_ops.partition_sums(rows, rows, DIM)
+    return vector_ops.extremes(sums, "total", "id", 10).withColumn("value", F.round("value", 4))
+
+
+@query(_votes("SELECT *, 1.0::DOUBLE AS weight FROM c QUALIFY count(*) OVER (PARTITION BY doc, span) = 1 OR local >= 0.5"))
+def voters_above(s, d):
+    """Candidates of spans with a single one, and those of a high local score, vote."""
+
+    def voting(c):
+        return scoring.voters(c, unambiguous=True).unionByName(scoring.voters(c, threshold=0.5)).dropDuplicates(["doc", "span", "cand"])
+
+    return _voted(s, d, voting)
+
+
+PAIRS = f"""
+SELECT m.vec_id AS id, list({_dot('m.embedding', 'c.embedding')} ORDER BY j) AS s, list(ln(1.0::DOUBLE / (j + 2)) ORDER BY j) AS lp
+FROM (SELECT vec_id, embedding, unnest(range(0, 4)) AS j FROM embeddings) m JOIN embeddings c ON c.vec_id = (7 * m.vec_id + 13 * j) % (SELECT max(vec_id) + 1 FROM embeddings) GROUP BY 1"""
+
+
+@query(f"""
+WITH p AS ({PAIRS}), z AS (SELECT *, list_transform(range(1, 5), lambda i: s[i] - lp[i]) AS zi, list_transform(range(1, 5), lambda i: s[i] - lp[i] - ln(3.0::DOUBLE)) AS zn FROM p)
+SELECT id, round(list_sum(list_transform(range(2, 5), lambda i: greatest(0.0::DOUBLE, 0.1 - s[1] + s[i]))) / 4, 6) AS maxm,
+  round((ln(1 + exp(-s[1])) + list_sum(list_transform(range(2, 5), lambda i: ln(1 + exp(s[i]))))) / 4, 6) AS neg,
+  round((ln(1 + exp(-zn[1])) + list_sum(list_transform(range(2, 5), lambda i: ln(1 + exp(zn[i]))))) / 4, 6) AS nce,
+  round(ln(list_sum(list_transform(zi, lambda v: exp(v)))) - zi[1], 6) AS "is" FROM z""")
+def sampling_losses(s, d):
+    """Each vector's products with four others, the first as its positive word."""
+    cands = vector_candidates(s, d).withColumn("j", F.round(1 / F.col("p") - 2).cast("int"))
+    own = _vectors(s, d).select(F.col("id").alias("span"), F.col("vec").alias("own"))
+    rows = cands.join(own, "span").select("span", F.struct("j", vectors.dot(F.col("own"), F.col("vec")).alias("s"), F.ln("p").alias("lp")).alias("x"))
+    lists = rows.groupBy(F.col("span").alias("id")).agg(F.array_sort(F.collect_list("x")).alias("xs")).select("id", F.transform("xs", lambda x: x["s"]).alias("s"), F.transform("xs", lambda x: x["lp"]).alias("lp"))
+    return lists.select("id", *(F.round(scoring.sampling_loss(k, F.col("s"), F.col("lp")), 6).alias(k) for k in ("maxm", "neg", "nce", "is")))
+
+
+@query(f"""
+WITH c0 AS ({VECTOR_CANDIDATES}), c AS MATERIALIZED (SELECT doc, span, cand, p, ln(least(1.0::DOUBLE, greatest(1e-6::DOUBLE, p))) AS local, vec FROM c0), v AS (SELECT *, 1.0::DOUBLE AS weight FROM c WHERE local >= -1.2),
+f AS (SELECT doc, span, i, sum(vec[i] * weight) AS x FROM (SELECT *, unnest(range(1, {DIM + 1})) AS i FROM v) GROUP BY ALL),
+a AS (SELECT doc, i, sum(x) AS x FROM f GROUP BY ALL), k AS (SELECT DISTINCT doc, span FROM c),
+o AS (SELECT k.doc, k.span, list(a.x - coalesce(f.x, 0) ORDER BY a.i) AS o FROM k JOIN a ON a.doc = k.doc LEFT JOIN f ON f.doc = k.doc AND f.span = k.span AND f.i = a.i GROUP BY ALL)
+SELECT c.doc, c.span, c.cand, round(local + coalesce(list_dot_product(vec, o) / CASE WHEN list_dot_product(o, o) > 0 THEN sqrt(list_dot_product(o, o)) ELSE 1 END, 0), 6) AS score FROM c LEFT JOIN o ON o.doc = c.doc AND o.span = c.span""")
+def assembled_scores(s, d):
+    """The scorer named by its components: prior and global votes."""
+    return scoring.assembled("pem_global", vector_candidates(s, d), dim=DIM, threshold=-1.2).select("doc", "span", "cand", F.round("score", 6).alias("score"))

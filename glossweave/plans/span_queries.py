@@ -232,11 +232,6 @@ def micro_macro_f1(s, d):
     return _rounded(metrics.micro_macro(doc_confusion(s, d)))
 
 
-@query(f"WITH {CONF.replace('c AS (', 'c0 AS (', 1)}, c AS (SELECT *, string_split(doc, '/')[2] AS sample_mode FROM c0) {_f1_sql('sample_mode')}")
-def metrics_per_dataset(s, d):
-    return _rounded(metrics.micro_macro(doc_confusion(s, d).withColumn("sample_mode", F.get(F.split("doc", "/"), 1)), ["sample_mode"]))
-
-
 SWEEP = f"""
 WITH {P}, {G}, {GSCORE}, m AS (SELECT score, {WEAK} AS m FROM p),
 st AS (SELECT score, sum(t) AS t, sum(f) AS f, sum(g) AS g FROM (
@@ -251,6 +246,21 @@ def threshold_sweep(s, d):
     return metrics.threshold_sweep(predictions(s, d), tables.gold(s, d)).withColumn("f1", F.round("f1", 6))
 
 
+VALID = "string_split(doc, '/')[3] = '0'"
+
+
+@query(f"""
+WITH t AS (SELECT threshold FROM ({SWEEP.replace('WITH ' + P, f'WITH p AS (SELECT * FROM ({PREDICTIONS}) WHERE {VALID})', 1).replace(G, f'g AS (SELECT DISTINCT * FROM ({GOLD}) WHERE {VALID})', 1).replace("round(2 * pr * rc / (pr + rc + " + EPS + "), 6)", "2 * pr * rc / (pr + rc + " + EPS + ")")}) ORDER BY f1 DESC, threshold DESC LIMIT 1),
+{CONF.replace(P, f'p AS (SELECT * FROM ({PREDICTIONS}) WHERE NOT {VALID})', 1).replace(G, f'g AS (SELECT DISTINCT * FROM ({GOLD}) WHERE NOT {VALID})', 1).replace("0.2", "(SELECT threshold FROM t)").replace("c AS (", "c0 AS (", 1)},
+c AS (SELECT *, string_split(doc, '/')[2] AS dataset FROM c0)
+SELECT *, round((SELECT threshold FROM t), 6) AS threshold FROM ({_f1_sql('dataset')})""")
+def metrics_per_dataset(s, d):
+    """The first pass over the chunks chooses the threshold, the others are evaluated."""
+    part = F.split("doc", "/")
+    rows = metrics.per_dataset(predictions(s, d), tables.gold(s, d), F.get(part, 1), F.get(part, 2) == "0")
+    return _rounded(rows).withColumn("threshold", F.round("threshold", 6))
+
+
 @query(f"SELECT * FROM ({SWEEP}) ORDER BY f1 DESC, threshold DESC LIMIT 1")
 def optimal_threshold(s, d):
     swept = metrics.threshold_sweep(predictions(s, d), tables.gold(s, d)).withColumn("f1", F.round("f1", 6))
@@ -260,7 +270,7 @@ def optimal_threshold(s, d):
 RECALL = f"""
 WITH c AS ({CANDIDATES}), {G}
 SELECT g.*, CASE WHEN NOT EXISTS (SELECT 1 FROM c WHERE c.doc = g.doc AND c."begin" = g."begin" AND c."end" = g."end") THEN 'no_span'
-  WHEN NOT EXISTS (SELECT 1 FROM c WHERE c.doc = g.doc AND c."begin" = g."begin" AND c."end" = g."end" AND c.entity = g.entity) THEN 'no_entity' ELSE 'hit' END AS outcome FROM g"""
+  WHEN NOT EXISTS (SELECT 1 FROM c WHERE c.doc = g.doc AND c."begin" = g."begin" AND c."end" = g."end" AND c.entity = g.entity) THEN 'no_entity' ELSE 'hit' END AS outcome, g."end" - g."begin" > 10 AS too_wide FROM g"""
 
 
 @query(RECALL)
@@ -268,11 +278,11 @@ def recall_miss_listing(s, d):
     return metrics.candidate_recall(tables.gold(s, d), tables.span_candidates(s, d))
 
 
-@query(f"SELECT outcome, count(*) AS mentions, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM ({RECALL}) GROUP BY 1")
+@query(f"SELECT outcome, count(*) AS mentions, count_if(too_wide)::BIGINT AS too_wide, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM ({RECALL}) GROUP BY 1")
 def candidate_recall(s, d):
     rows = recall_miss_listing(s, d)
     total = rows.agg(F.count("*").alias("t"))
-    return rows.groupBy("outcome").agg(F.count("*").alias("mentions")).join(F.broadcast(total)).select("outcome", "mentions", F.round(F.col("mentions") / F.col("t"), 6).alias("share"))
+    return rows.groupBy("outcome").agg(F.count("*").alias("mentions"), F.count_if("too_wide").alias("too_wide")).join(F.broadcast(total)).select("outcome", "mentions", "too_wide", F.round(F.col("mentions") / F.col("t"), 6).alias("share"))
 
 
 LOGGED = """SELECT DISTINCT log_id, chunk_id, span_num, cand_pos, cand_entity, gt_entity, final_score FROM fp_weak_log
@@ -304,30 +314,34 @@ def freq_buckets(s, d):
 
 
 @query(f"""
-WITH c AS ({CANDIDATES}), g AS (SELECT DISTINCT * FROM ({GOLD})),
-m AS (SELECT g.doc, g."begin", g."end", g.entity, min(pos) AS pos FROM g JOIN c ON c.doc = g.doc AND c."begin" = g."begin" AND c."end" = g."end" AND c.entity = g.entity GROUP BY ALL)
-SELECT least(pos, 5) AS gold_pos, count(*) AS mentions FROM m GROUP BY 1""")
+WITH c AS ({CANDIDATES}), g AS (SELECT DISTINCT * FROM ({GOLD})), w AS (SELECT doc, "begin", "end", entity, max(score) >= 0.2 AS kept FROM ({PREDICTIONS}) GROUP BY ALL),
+m AS (SELECT g.doc, g."begin", g."end", g.entity, min(pos) AS pos FROM g JOIN c ON c.doc = g.doc AND c."begin" = g."begin" AND c."end" = g."end" AND c.entity = g.entity GROUP BY ALL),
+b AS (SELECT CASE WHEN pos <= 0 THEN 0 WHEN pos <= 1 THEN 1 WHEN pos <= 2 THEN 2 WHEN pos <= 7 THEN 7 WHEN pos <= 200 THEN 200 END::BIGINT AS upto, w.kept FROM m LEFT JOIN w USING (doc, "begin", "end", entity))
+SELECT upto, count(*) AS mentions, round(avg(coalesce(kept, false)::INT), 6) AS solved, round(avg((kept IS NOT NULL)::INT), 6) AS winner FROM b WHERE upto IS NOT NULL GROUP BY 1""")
 def gold_position_buckets(s, d):
-    span = ["doc", "begin", "end", "entity"]
-    found = tables.gold(s, d).distinct().join(tables.span_candidates(s, d), span).groupBy(*span).agg(F.min("pos").alias("pos"))
-    return found.groupBy(F.least("pos", F.lit(5)).cast("bigint").alias("gold_pos")).agg(F.count("*").alias("mentions"))
+    won = predictions(s, d).select("doc", "begin", "end", "entity", (F.col("score") >= 0.2).alias("kept"))
+    out = metrics.gold_position_buckets(tables.gold(s, d), tables.span_candidates(s, d), won, [0, 1, 2, 7, 200])
+    return out.withColumns({"solved": F.round("solved", 6), "winner": F.round("winner", 6)})
 
 
-SPANWISE = f"""
-SELECT chunk_id, span_num, max(gt_entity) AS gold, max_by(cand_entity, struct_pack(s := coalesce(final_score, -1e9::FLOAT), p := -cand_pos, i := -log_id)) AS system, max_by(cand_entity, struct_pack(p := -cand_pos, i := -log_id)) AS base
-FROM ({LOGGED}) WHERE final_score IS NULL OR NOT isnan(final_score) GROUP BY ALL"""
+SPANWISE = """
+SELECT chunk_id, span_num, max(gt_entity) AS gold, max_by(cand_entity, struct_pack(s := coalesce(final_score, -1e9::FLOAT), p := -cand_pos, i := -log_id)) FILTER (WHERE ok) AS system, max_by(cand_entity, struct_pack(p := -cand_pos, i := -log_id)) FILTER (WHERE ok) AS base, count_if(ok) > 0 AS has
+FROM (SELECT *, cand_entity IS NOT NULL AND cand_entity <> 0 AND cand_pos IS NOT NULL AND (final_score IS NULL OR NOT isnan(final_score)) AS ok FROM (SELECT DISTINCT log_id, chunk_id, span_num, cand_pos, cand_entity, gt_entity, final_score FROM fp_weak_log WHERE gt_entity IS NOT NULL)) GROUP BY chunk_id, span_num"""
 
 
 @query(f"""
-WITH m AS (SELECT *, system = gold AS r, base = gold AS b FROM ({SPANWISE})),
-a AS (SELECT count_if(r) AS "right", count(*) AS with_cands, count(*) AS total, count_if(r AND b) AS "both", count_if(r AND NOT b) AS system_only, count_if(b AND NOT r) AS baseline_only, count_if(NOT r AND NOT b) AS neither FROM m)
-SELECT "right"::BIGINT AS "right", with_cands, total, "both"::BIGINT AS "both", system_only::BIGINT AS system_only, baseline_only::BIGINT AS baseline_only, neither::BIGINT AS neither,
+WITH m AS (SELECT *, coalesce(system = gold, false) AS r, coalesce(base = gold, false) AS b FROM ({SPANWISE})),
+a AS (SELECT count_if(r) AS "right", count_if(has) AS with_cands, count(*) AS total, count_if(r AND b) AS "both", count_if(r AND NOT b) AS system_only, count_if(b AND NOT r) AS baseline_only, count_if(NOT r AND NOT b) AS neither FROM m)
+SELECT "right"::BIGINT AS "right", with_cands::BIGINT AS with_cands, total, "both"::BIGINT AS "both", system_only::BIGINT AS system_only, baseline_only::BIGINT AS baseline_only, neither::BIGINT AS neither,
   round("right" / with_cands, 6) AS "precision", round("right" / total, 6) AS recall, round(2 * ("right" / with_cands) * ("right" / total) / nullif("right" / with_cands + "right" / total, 0), 6) AS f1 FROM a""")
 def baseline_agreement(s, d):
-    rows = _logged(s, d).where("final_score is null or not isnan(final_score)")
+    """Logged spans; those whose candidates are all unknown have none."""
+    log = read(s, d, "fp_weak_log").select("log_id", "chunk_id", "span_num", "cand_pos", "cand_entity", "gt_entity", "final_score").distinct().where("gt_entity is not null")
+    ok = F.expr("cand_entity is not null and cand_entity <> 0 and cand_pos is not null and (final_score is null or not isnan(final_score))")
     score = F.struct(F.coalesce("final_score", F.lit(-1e9).cast("float")), -F.col("cand_pos"), -F.col("log_id"))
-    by_span = rows.groupBy("chunk_id", "span_num").agg(F.max("gt_entity").alias("gold"), F.max_by("cand_entity", score).alias("system"), F.max_by("cand_entity", F.struct(-F.col("cand_pos"), -F.col("log_id"))).alias("base"))
-    out = metrics.mention_accuracy(by_span.withColumn("has", F.lit(True)), "system", "gold", "has", "base")
+    rows = log.withColumns({"ok": ok, "by_score": F.when(ok, score), "by_place": F.when(ok, F.struct(-F.col("cand_pos"), -F.col("log_id")))})
+    by_span = rows.groupBy("chunk_id", "span_num").agg(F.max("gt_entity").alias("gold"), F.max_by("cand_entity", "by_score").alias("system"), F.max_by("cand_entity", "by_place").alias("base"), F.max("ok").alias("has"))
+    out = metrics.mention_accuracy(by_span, "system", "gold", "has", "base")
     return out.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1")})
 
 
@@ -344,15 +358,62 @@ def response_once_per_entity(s, d):
     return decode.first_of_each(rows, ["doc", "entity"], ["begin", "end", "neg"]).drop("neg")
 
 
-@query("""
-SELECT item_id, text, length(text)::BIGINT AS chars, '[[0,' || least(5, length(text)) || ',"' || item_id || '"]]' AS response FROM eval_items WHERE text IS NOT NULL""")
+@query('''
+SELECT item_id, text, length(text)::BIGINT AS chars, '[[0,' || least(5, length(text)) || ',"' || item_id || '"]]' AS response FROM eval_items WHERE text IS NOT NULL''')
 def request_json_roundtrip(s, d):
     items = read(s, d, "eval_items").where("text is not null")
     asked = items.select("item_id", F.to_json(F.struct("text", F.array(F.struct(F.lit(0).alias("start"), F.least(F.lit(5), F.length("text")).alias("length"))).alias("spans"))).alias("value"))
     got = readers.requests(asked)
-    answer = F.to_json(F.transform("spans", lambda x: F.array(x["start"].cast("string"), x["length"].cast("string"), F.concat(F.lit('"'), F.col("item_id").cast("string"), F.lit('"')))))
-    plain = F.regexp_replace(F.regexp_replace(answer, r'"(\d+)"', "$1"), r'"\\"(\d+)\\""', '"$1"')
-    return got.select("item_id", "text", F.length("text").cast("bigint").alias("chars"), plain.alias("response"))
+    given = got.select("item_id", F.explode("spans").alias("s")).select("item_id", "s.start", "s.length", F.col("item_id").cast("string").alias("title"))
+    return got.select("item_id", "text", F.length("text").cast("bigint").alias("chars")).join(decode.responses(given, "item_id"), "item_id")
+
+
+PIECES = r"'[\p{L}\p{N}]+|[^\s\p{L}\p{N}]|\s+'"
+OFFSETS = f'''
+SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY i) - 1 AS pos, stop - length(t) AS start, stop FROM (
+  SELECT *, sum(length(t)) OVER (PARTITION BY doc ORDER BY i) AS stop FROM (SELECT doc, unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS t FROM (SELECT doc_id::VARCHAR AS doc, regexp_extract_all(text, {PIECES}) AS ps FROM documents)))
+WHERE NOT regexp_matches(t, '^\\s')'''
+
+
+@query(f'''
+WITH a AS ({SQL["annotate_corpus"]}), o AS MATERIALIZED ({OFFSETS}), n AS (SELECT entity_id, max(name) AS name FROM entity_names GROUP BY 1),
+r AS (SELECT a.doc, f.start::BIGINT AS s, (l.stop - f.start)::BIGINT AS n, replace(n.name, ' ', '_') AS t FROM a JOIN o f ON f.doc = a.doc AND f.pos = a."begin" JOIN o l ON l.doc = a.doc AND l.pos = a."end" - 1 JOIN n ON n.entity_id = a.entity)
+SELECT doc, '[' || string_agg('[' || s || ',' || n || ',' || to_json(t) || ']', ',' ORDER BY s, n, t) || ']' AS response FROM r GROUP BY 1''')
+def annotate_response(s, d):
+    '''The answer to each text: [start, length, title] in characters of every annotation.'''
+    return flagship.annotate_response(s, d)
+
+
+@query(f'''
+WITH o AS ({OFFSETS.replace("doc_id::VARCHAR AS doc", "item_id::VARCHAR AS doc").replace("FROM documents", "FROM eval_items")}), g AS (SELECT item_id::VARCHAR AS doc, unnest([3, 9, 20]) AS edge FROM eval_items),
+c AS (SELECT o.*, list_sort(list_concat([start::BIGINT], coalesce((SELECT list(DISTINCT edge::BIGINT) FROM g WHERE g.doc = o.doc AND edge > start AND edge < stop), []), [stop::BIGINT])) AS b FROM o),
+p AS (SELECT doc, b[i] AS start, b[i + 1] AS stop FROM (SELECT *, unnest(range(1, len(b))) AS i FROM c))
+SELECT doc, row_number() OVER (PARTITION BY doc ORDER BY start) - 1 AS pos, start, stop FROM p''')
+def tokens_split_at_spans(s, d):
+    '''Tokens of the passages, cut where a given span begins or ends inside one.'''
+    items = read(s, d, "eval_items")
+    given = items.select(F.col("item_id").cast("string").alias("doc"), F.explode(F.expr("array(named_struct('s', 3L, 'n', 6L), named_struct('s', 9L, 'n', 11L))")).alias("g")).select("doc", F.col("g.s").alias("start"), F.col("g.n").alias("length"))
+    return spans.split_at(spans.token_offsets(items, "item_id", "text"), given).select("doc", "pos", F.col("start").cast("bigint").alias("start"), F.col("stop").cast("bigint").alias("stop"))
+
+
+@query(f'''
+WITH r AS (SELECT doc, "begin", "end", entity, words, list_concat(range("begin" - 5, "begin"), range("end", "end" + 5)) AS i FROM (SELECT DISTINCT * FROM ({GOLD})) JOIN ({SAMPLES}) s USING (doc) WHERE s.words IS NOT NULL)
+SELECT doc, "begin", "end", entity, list_transform(i, lambda x: greatest(0, least(x, len(words) - 1))) AS places, list_transform(i, lambda x: x >= 0 AND x < len(words)) AS mask FROM r''')
+def attention_window(s, d):
+    rows = tables.gold(s, d).distinct().join(tables.samples(s, d, "words").select("doc", "words"), "doc").where("words is not null")
+    places, mask = spans.window_mask(F.col("words"), F.col("begin"), F.col("end"), 5)
+    return rows.select("doc", "begin", "end", "entity", places.alias("places"), mask.alias("mask"))
+
+
+@query(f'''
+WITH r AS (SELECT doc, "begin", "end", entity, words[1 : "begin"] AS l, words["end" + 1 :] AS r FROM (SELECT DISTINCT * FROM ({GOLD})) JOIN ({SAMPLES}) s USING (doc) WHERE s.words IS NOT NULL),
+k AS (SELECT doc, "begin", "end", entity, list_filter(l, lambda w, i: w <> 0 OR i = 1) AS l, list_filter(r, lambda w, i: w <> 0 OR i = len(r)) AS r FROM r)
+SELECT doc, "begin", "end", entity, l[greatest(len(l) - 10, 0) + 1 :] AS left_words, r[1 : 10] AS right_words FROM k''')
+def packed_context_boundary(s, d):
+    '''Unknown words are passed over, but for the first and the last word of the text.'''
+    rows = tables.gold(s, d).distinct().join(tables.samples(s, d, "words").select("doc", "words"), "doc").where("words is not null")
+    left, right = spans.packed_context(F.col("words"), F.col("begin"), F.col("end"), lambda w: w != 0, 10, boundary=True)
+    return rows.select("doc", "begin", "end", "entity", left.alias("left_words"), right.alias("right_words"))
 
 
 @query(f"""
