@@ -42,8 +42,8 @@ pem AS (SELECT mention, entity, n / sum(n) OVER (PARTITION BY mention) AS p FROM
 top AS (SELECT * FROM pem QUALIFY row_number() OVER (PARTITION BY mention ORDER BY p DESC, entity) = 1),
 w AS (SELECT doc_id::VARCHAR AS doc, regexp_extract_all(text, {TOKENS}) AS ws FROM documents WHERE text IS NOT NULL),
 b AS (SELECT doc, ws, unnest(range(0, len(ws))) AS b FROM w),
-sp AS (SELECT doc, b, b + k AS e, array_to_string(ws[b + 1 : b + k], ' ') AS span FROM (SELECT *, unnest(range(1, least(10, len(ws) - b) + 1)) AS k FROM b) WHERE NOT list_contains(ws[b + 1 : b + k], '.')),
-x AS (SELECT doc, list(DISTINCT struct_pack(s := p, b := b, e := e, i := entity)) AS xs FROM sp JOIN top ON mention = span GROUP BY 1),
+sp AS (SELECT doc, b, b + k AS e, array_to_string(ws[b + 1 : b + k], ' ') AS span FROM (SELECT *, unnest(range(1, least(10, len(ws) - b) + 1)) AS k FROM b)),
+x AS (SELECT doc, list(DISTINCT struct_pack(s := p, b := b, e := e, i := entity)) AS xs FROM sp JOIN top ON mention = span WHERE NOT contains(mention, '.') GROUP BY 1),
 y AS (SELECT doc, list_reduce(list_transform(list_reverse_sort(xs), lambda v: [v]), lambda acc, v: CASE WHEN len(list_filter(acc, lambda t: t.b < v[1].e AND v[1].b < t.e)) > 0 THEN acc ELSE list_concat(acc, v) END) AS ys FROM x),
 z AS (SELECT doc, unnest(ys) AS t FROM y)
 SELECT doc, t.b AS "begin", t.e AS "end", t.i AS entity, round(t.s, 6) AS score FROM z WHERE t.s >= 0.05""")
@@ -72,9 +72,11 @@ def chunk_sentences(s, d):
 WITH w AS (SELECT doc_id::VARCHAR AS key, regexp_extract_all(text, {TOKENS}) AS ws FROM documents),
 t AS (SELECT key, unnest(range(0, len(ws))) AS b, unnest(ws) AS tok, len(ws) AS n FROM w),
 s AS (SELECT key, b, tok, coalesce(min(CASE WHEN tok = '.' THEN b END) OVER (PARTITION BY key ORDER BY b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), n) AS stop FROM t)
-SELECT key, b AS "begin", unnest(range(b + 1, least(stop, b + 10) + 1)) AS "end" FROM s WHERE tok <> '.' """)
+SELECT key, b AS "begin", least(stop, b + 10) - b AS spans, least(stop, b + 10) AS last_end FROM s WHERE tok <> '.' """)
 def all_spans_bounded(s, d):
-    return spans.all_spans(spans.chunks(read(s, d, "documents"), "doc_id", "text", by="document"))
+    """All spans of the corpus, told by their begins: how many there are and the last end."""
+    made = spans.all_spans(spans.chunks(read(s, d, "documents"), "doc_id", "text", by="document"))
+    return made.groupBy("key", "begin").agg(F.count("*").alias("spans"), F.max("end").alias("last_end"))
 
 
 @query(f"""
