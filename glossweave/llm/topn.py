@@ -82,6 +82,33 @@ def _offers(batch: pa.RecordBatch, unknown: int) -> pa.Table:
     return pa.table([unchunk(key), slot.astype(np.int64), item.astype(np.int64), value], schema=SCHEMA)
 
 
+class _Bounds:
+    """The last of every full heap: what comes behind it cannot get in."""
+
+    def __init__(self, heaps: pa.Table, n: int):
+        # Heaps lie in order of their groups, the best first.
+        names, key = text_codes(heaps["key"])
+        slot = heaps["slot"].to_numpy()
+        first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (slot[1:] != slot[:-1])]) if len(key) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[first, len(key)])
+        last = first[size >= n] + n - 1
+        last = last[(slot[last] >= 0) & (slot[last] < 1 << 32)]
+        self.names, group = names, (key[last] << 32) | slot[last]
+        order = np.argsort(group)
+        self.group = group[order]
+        self.item, self.score = (heaps[c].to_numpy()[last[order]] for c in ("item", "score"))
+
+    def above(self, offers: pa.Table) -> pa.Table:
+        if not len(self.group) or not offers.num_rows:
+            return offers
+        key = pc.fill_null(pc.index_in(offers["key"], self.names), -1).to_numpy().astype(np.int64)
+        slot, item, score = (offers[c].to_numpy() for c in ("slot", "item", "score"))
+        group = np.where((key >= 0) & (slot >= 0) & (slot < 1 << 32), (key << 32) | slot, -1)
+        at = np.minimum(np.searchsorted(self.group, group), len(self.group) - 1)
+        behind = (score < self.score[at]) | ((score == self.score[at]) & (item > self.item[at]))
+        return offers.filter(pa.array((self.group[at] != group) | ~behind))
+
+
 def _batches(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from table.combine_chunks().to_batches(max_chunksize=65_536)
 
@@ -96,8 +123,9 @@ def strongest(df: DataFrame, key: str, slots: str, items: str, scores: str, n: i
     Empty tables and groups without counting items give no rows; other columns are
     ignored.  Result: (key, slot, item, score).
 
-    Each task keeps heaps of at most ``n`` items a group and hands them on when they
-    reach ``buffer_rows`` rows in all, so that before the shuffle a hot group shrinks to
+    Each task keeps heaps of at most ``n`` items a group, into which an item behind the
+    last of a full one doesn't get, and hands them on when they reach ``buffer_rows`` rows
+    in all, so that before the shuffle a hot group shrinks to
     ``n`` rows a task; after it the heaps of a group arrive together, in order, and are
     merged as they stream by.
     """
@@ -107,13 +135,20 @@ def strongest(df: DataFrame, key: str, slots: str, items: str, scores: str, n: i
     assert isinstance(kind, T.ArrayType)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps = SCHEMA.empty_table()
+        heaps, bounds = SCHEMA.empty_table(), None
+        waiting, rows = [], 0
         for batch in batches:
-            heaps = _compact(pa.concat_tables([heaps, _offers(batch, unknown)]), n)
-            if heaps.num_rows > buffer_rows:
-                yield from _batches(heaps)
-                heaps = SCHEMA.empty_table()
-        yield from _batches(heaps)
+            offers = _offers(batch, unknown)
+            waiting.append(bounds.above(offers) if bounds else offers)
+            rows += waiting[-1].num_rows
+            # Heaps are put in order as often as they double at most.
+            if rows >= max(100_000, heaps.num_rows):
+                heaps, waiting, rows = _compact(pa.concat_tables([heaps, *waiting]), n), [], 0
+                if heaps.num_rows > buffer_rows:
+                    yield from _batches(heaps)
+                    heaps = SCHEMA.empty_table()
+                bounds = _Bounds(heaps, n)
+        yield from _batches(_compact(pa.concat_tables([heaps, *waiting]), n))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_heaps = SCHEMA.empty_table()

@@ -4,6 +4,7 @@ import math
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -70,3 +71,14 @@ def test_cut_is_mergeable(rows, n):
     whole = cut(a)
     halves = cut(np.concatenate([cut(a[::2]), cut(a[1::2])]))
     assert sorted(map(tuple, whole)) == sorted(map(tuple, halves))
+
+
+def test_bounds_keep_all_that_may_get_in():
+    rng = np.random.default_rng(4)
+    make = lambda n: pa.table([pa.array([f"k{i}" for i in rng.integers(0, 4, n)]), rng.integers(-1, 3, n), rng.integers(1, 30, n), np.round(rng.random(n), 1)], schema=topn.SCHEMA)
+    for _ in range(30):
+        old, new = make(120), make(60)
+        heaps = topn._compact(old, 3)
+        kept = topn._Bounds(heaps, 3).above(new)
+        whole, cut = (sorted(topn._compact(pa.concat_tables([heaps, x]), 3).to_pylist(), key=str) for x in (new, kept))
+        assert whole == cut and kept.num_rows < new.num_rows
