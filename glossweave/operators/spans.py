@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from glossweave.functions import text
 from glossweave.operators import ordered
+from glossweave.sources import readers
 
 #: Control markers of the token stream.
 MARKERS = ("DOCSTART_", "DOCEND", "MMSTART_", "MMEND", "*NL*")
@@ -84,9 +85,9 @@ def parsed_stream(lines: DataFrame) -> DataFrame:
     half-open word range and entity of every mention; mentions that are not closed end
     with the document.
     """
-    order = Window.partitionBy("file").orderBy("line_no")
-    doc = F.last(F.when(F.col("line").startswith("DOCSTART_"), F.substr("line", F.lit(10))), ignorenulls=True).over(order)
-    marked = lines.withColumn("doc", doc).where("doc is not null")
+    doc = F.when(F.col("line").startswith("DOCSTART_"), F.substr("line", F.lit(10)))
+    stretches = lines if "block" in lines.columns else lines.withColumn("block", F.lit(0))
+    marked = readers.carried(stretches, {"doc": doc}).where("doc is not null")
     is_marker = F.lit(False)
     for m in MARKERS:
         is_marker = is_marker | F.col("line").startswith(m)

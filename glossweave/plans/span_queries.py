@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from glossweave.operators import coreference, decode, metrics, reports, spans
 from glossweave.plans import annotate as flagship
-from glossweave.plans import tables
+from glossweave.plans import service, tables
 from glossweave.plans.dictionary_queries import TOKENS
 from glossweave.plans.tables import ANNOTATIONS, CANDIDATES, GOLD, PREDICTIONS, SAMPLES, read
 from glossweave.sources import readers
@@ -386,6 +386,22 @@ def annotate_response(s, d):
     return flagship.annotate_response(s, d)
 
 
+@query(f'''
+WITH a AS ({SQL["annotate_response"].replace("documents", "(SELECT item_id AS doc_id, text FROM eval_items WHERE item_id % 2 = 0)")}), i AS (SELECT item_id::VARCHAR AS doc, item_id, text FROM eval_items WHERE text IS NOT NULL),
+l AS (SELECT DISTINCT mention, wikiName, annotation_id FROM ({ANNOTATIONS}) WHERE mention IS NOT NULL), n AS (SELECT name, min(entity_id) AS entity FROM entity_names GROUP BY 1),
+c AS (SELECT array_to_string(regexp_extract_all(mention, {TOKENS}), ' ') AS mention, entity, count(*) AS k FROM l JOIN n ON name = wikiName GROUP BY ALL), top AS (SELECT * FROM c WHERE mention <> '' QUALIFY row_number() OVER (PARTITION BY mention ORDER BY k DESC, entity) = 1),
+g AS (SELECT doc, s, n, array_to_string(regexp_extract_all(text[s + 1 : s + n], {TOKENS}), ' ') AS mention FROM (SELECT doc, text, unnest([4, 0]) AS s, unnest([8, 20]) AS n FROM i WHERE item_id % 2 = 1)),
+t AS (SELECT g.doc, s, n, replace(max(e.name), ' ', '_') AS t FROM g JOIN top USING (mention) JOIN entity_names e ON e.entity_id = top.entity GROUP BY ALL),
+b AS (SELECT doc, '[' || string_agg('[' || s || ',' || n || ',' || to_json(t) || ']', ',' ORDER BY s, n, t) || ']' AS response FROM t GROUP BY 1)
+SELECT i.doc, coalesce(a.response, b.response, '[]') AS response FROM i LEFT JOIN a ON a.doc = i.doc LEFT JOIN b ON b.doc = i.doc''')
+def request_answers(s, d):
+    '''Requests of both kinds, by turns: texts alone, and texts with two spans to resolve.'''
+    given = F.expr("array(named_struct('start', 4, 'length', 8), named_struct('start', 0, 'length', 20))")
+    items = read(s, d, "eval_items").where("text is not null")
+    asked = items.select("item_id", F.to_json(F.struct("text", F.when(F.col("item_id") % 2 == 1, given).alias("spans"))).alias("value"))
+    return service.answers(asked, "item_id", "value", *service.prepared(s, d))
+
+
 @query(f'''
 WITH o AS ({OFFSETS.replace("doc_id::VARCHAR AS doc", "item_id::VARCHAR AS doc").replace("FROM documents", "FROM eval_items")}), g AS (SELECT item_id::VARCHAR AS doc, unnest([3, 9, 20]) AS edge FROM eval_items),
 c AS (SELECT o.*, list_sort(list_concat([start::BIGINT], coalesce((SELECT list(DISTINCT edge::BIGINT) FROM g WHERE g.doc = o.doc AND edge > start AND edge < stop), []), [stop::BIGINT])) AS b FROM o),

@@ -66,13 +66,20 @@ def seen_persons(stream: DataFrame, doc: str, order: str, mention: str, timeout_
             state.remove()
             return
         seen = list(state.get[0]) if state.exists else []
+        # The names by their words: one that holds a mention has its first word.
+        by_word: dict[str, list[str]] = {}
+        for s in seen:
+            for w in set(s.split(" ")):
+                by_word.setdefault(w, []).append(s)
         rows = pd.concat(list(batches)).sort_values(order)
         out = []
         for m in rows[mention]:
-            held = next((s for s in reversed(seen) if len(s) > len(m) and f" {m} " in f" {s} "), None)
+            held = next((s for s in reversed(by_word.get(m.split(" ")[0], [])) if len(s) > len(m) and f" {m} " in f" {s} "), None)
             out.append({"doc": str(key[0]), "mention": m, "super": held})
             if held is None:
                 seen.append(m)
+                for w in set(m.split(" ")):
+                    by_word.setdefault(w, []).append(m)
         state.update((seen,))
         if timeout_ms:
             state.setTimeoutDuration(timeout_ms)
