@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Common words that carry no topic, the 331 distinct ones of the reference's list.
+#: Common words that carry no topic, the 332 distinct ones of the reference's list.
 STOP_WORDS = (
     "a about above across after afterwards again against all almost alone along already also although always am among amongst amoungst amount an "
     "and another any anyhow anyone anything anyway anywhere are around as at back be became because become becomes becoming been before "
