@@ -276,8 +276,8 @@ def passages(pair: np.ndarray, item_at: np.ndarray, pos: np.ndarray, size: np.nd
     Runs of ``m`` at ``item_at`` of the item and ``pos`` of the text belong to a passage
     if their distances differ by up to 2 ** ``bits``: two neighbouring bands of distances
     make one.  Two passages count by their union, as they may hold the same part of the
-    item; it is looked at only where it may reach ``least`` of the pair's ``size``, less
-    the ``m`` - 1 that may go unseen at a disturbed end.
+    item; it is looked at only where it may reach ``least`` of the pair's ``size``.  A
+    single passage may lack ``m`` - 1, as they go unseen at a disturbed end.
     """
     band = (item_at - pos + (1 << 30)) >> bits
     window = np.concatenate([(pair << 32) | band, (pair << 32) | (band - 1)])
@@ -298,20 +298,21 @@ def passages(pair: np.ndarray, item_at: np.ndarray, pos: np.ndarray, size: np.nd
     second = np.zeros(len(pairs), np.int64)
     np.maximum.at(second, rank[apart], words[apart])
     # The last words of a passage are not seen where one of them is disturbed.
-    need = least * size[pairs] - (m - 1)
+    found = words[top] >= least * size[pairs] - (m - 1) - 1e-6
     share = words[top] / size[pairs]
     lo, hi = np.minimum.reduceat(place, first), np.maximum.reduceat(place, first)
     seen_lo, seen_hi = lo[top], hi[top]
-    for k in np.flatnonzero((words[top] < need) & (words[top] + second >= need)):
+    enough = least * size[pairs] - 1e-6
+    for k in np.flatnonzero(~found & (words[top] + second >= enough)):
         own = begin[first[top[k]] : stop[top[k]]]
         for g in range(start[k], last[k]):
-            if apart[g] and words[g] + words[top[k]] >= need[k]:
+            if apart[g] and words[g] + words[top[k]] >= enough[k]:
                 both = np.unique(np.concatenate([own, begin[first[g] : stop[g]]]))
                 share[k] = max(share[k], covered(both, np.zeros(len(both), np.int64), m, gap)[0] / size[pairs[k]])
+        found[k] = share[k] >= least - 1e-6
     near = np.flatnonzero(apart & (words == second[rank]) & (second[rank] > 0))
     np.minimum.at(seen_lo, rank[near], lo[near])
     np.maximum.at(seen_hi, rank[near], hi[near])
-    found = share * size[pairs] >= need - 1e-6
     return pairs, np.minimum(share, 1.0), found, (words[top] + second) / size[pairs], seen_lo, seen_hi
 
 
@@ -394,8 +395,8 @@ def leaked(df: DataFrame, key: str, text: str, items: DataFrame, item_key: str,
     """Pairs of a document and an evaluation item that it carries, wholly or in part.
 
     Result: (key, item, share); ``share`` is the part of the item's words that the
-    document's one or two passages hold, ``least`` or more but for three words at a
-    disturbed end.  Null and empty texts carry
+    document's one or two passages hold, ``least`` or more, in a single passage but for
+    three words at a disturbed end.  Null and empty texts carry
     nothing; items of null or without words are never found; equal documents and equal
     items are reported each by its key, repeated rows repeatedly.  Items of fewer than 14
     words are searched by shorter runs, a single word by itself.
