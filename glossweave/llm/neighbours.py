@@ -199,14 +199,14 @@ def nearest(
     k: int = 3,
     least: float = -1.0,
     probes: int | None = None,
-    recall: float = 0.995,
+    recall: float = 0.999,
     part_rows: int = 1500,
     most_parts: int = 4096,
     sample_rows: int = 8000,
     most_sample_rows: int = 65_536,
     most_regions: int = 512,
     block_rows: int = 6000,
-    held_out: int = 512,
+    held_out: int = 1024,
 ) -> DataFrame:
     """The ``k`` most similar other vectors of every vector, by cosine, of those with a
     cosine of ``least``.
