@@ -9,6 +9,7 @@ compared with all that live there.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,14 +20,18 @@ from pyspark.sql.window import Window
 
 from glossweave.llm._spark import checkpointed, hash_sample
 
+#: Rows that a task scores, and that it sends on, at once: its arrays grow with nothing else.
+_SCORED, _SENT = 1024, 8192
+
 
 def neighbour_graph(x: np.ndarray, k: int) -> np.ndarray:
     """The k nearest of every unit row of ``x``, (rows, k)."""
     out = np.empty((len(x), k), np.int64)
-    for a in range(0, len(x), 512):
-        s = x[a : a + 512] @ x.T
+    step = max(1, min(512, (1 << 22) // max(1, len(x))))
+    for a in range(0, len(x), step):
+        s = x[a : a + step] @ x.T
         s[np.arange(len(s)), np.arange(a, a + len(s))] = -2
-        out[a : a + 512] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        out[a : a + step] = np.argpartition(-s, k - 1, axis=1)[:, :k]
     return out
 
 
@@ -255,44 +260,110 @@ def nearest(
     return open_rows.select("key", F.explode(best).alias("o")).select("key", F.col("o.id").alias("neighbour"), F.col("o.sim").alias("similarity"))
 
 
+def nearest_homes(batches: Iterator[pa.RecordBatch], routes: Routes, queries: np.ndarray, names: pa.Array, dim: int, k: int, least: float) -> Iterator[pa.RecordBatch]:
+    """(q, part, sim): similarity and home part of the ``k`` nearest to every query among
+    the rows (rep, v); ``names`` are the queries' own, which don't count."""
+    n = len(queries)
+    q, sim, home = np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.int64)
+    bound = np.full(n, least, np.float32)
+    for batch in batches:
+        for a in range(0, batch.num_rows, _SCORED):
+            part = batch.slice(a, _SCORED)
+            x = _matrix(part.column(1), dim)
+            s = queries @ x.T
+            at = pc.fill_null(pc.index_in(part.column(0), names), -1).to_numpy()
+            own = np.flatnonzero(at >= 0)
+            s[at[own], own] = -2
+            near_q, row = np.nonzero(s >= bound[:, None])
+            if not len(row):
+                continue
+            # Only rows that are near to a query are routed.
+            rows, row_at = np.unique(row, return_inverse=True)
+            q, sim = np.concatenate([q, near_q]), np.concatenate([sim, s[near_q, row]])
+            home = np.concatenate([home, routes.best(x[rows], 1)[row_at, 0]])
+            order = np.lexsort((-sim, q))
+            q, sim, home = q[order], sim[order], home[order]
+            first = np.searchsorted(q, np.arange(n))
+            keep = np.arange(len(q)) - first[q] < k
+            q, sim, home = q[keep], sim[keep], home[keep]
+            full = np.flatnonzero(np.bincount(q, minlength=n) == k)
+            bound[full] = sim[np.searchsorted(q, full, side="right") - 1]
+    yield pa.record_batch([pa.array(q), pa.array(home), pa.array(sim.astype(np.float64))], names=["q", "part", "sim"])
+
+
 def probes_needed(table: DataFrame, routes: Routes, queries: np.ndarray, names: pa.Array, dim: int, k: int, least: float, recall: float) -> int:
     """How many parts must be asked to reach ``recall`` of the true neighbours of queries.
 
     One pass over the table compares all vectors with the queries, a bounded number; each
     task keeps the ``k`` best of every query, and the home parts of these come out.
     """
-    n_queries, parts = len(queries), routes.begins[-1]
+    parts = routes.begins[-1]
 
     def scan(batches):
-        sims = np.full((n_queries, k), -2.0, np.float32)
-        homes = np.full((n_queries, k), -1, np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = _matrix(batch.column(1), dim)
-            home = routes.best(x, 1)[:, 0]
-            s = queries @ x.T
-            at = pc.fill_null(pc.index_in(batch.column(0), names), -1).to_numpy()
-            own = np.flatnonzero(at >= 0)
-            s[at[own], own] = -2
-            every = np.concatenate([sims, s], axis=1)
-            best = np.argpartition(-every, min(k, every.shape[1] - 1), axis=1)[:, :k]
-            homes = np.take_along_axis(np.concatenate([homes, np.broadcast_to(home, s.shape)], axis=1), best, axis=1)
-            sims = np.take_along_axis(every, best, axis=1)
-        q, j = np.nonzero((sims >= least) & (homes >= 0))
-        yield pa.record_batch([pa.array(q), pa.array(homes[q, j]), pa.array(sims[q, j].astype(np.float64))], names=["q", "part", "sim"])
+        return nearest_homes(batches, routes, queries, names, dim, k, least)
 
     found = table.select("rep", "v").mapInArrow(scan, "q bigint, part bigint, sim double")
     order = Window.partitionBy("q").orderBy(F.desc("sim"), "part")
     true = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).select("q", "part").toArrow()
     if not true.num_rows:
         return 1
-    order = routes.best(queries, parts)
-    where = order[true["q"].to_numpy()] == true["part"].to_numpy()[:, None]
-    ranks = np.where(where.any(1), where.argmax(1), parts - 1)
+    asking, meant = true["q"].to_numpy(), true["part"].to_numpy()
+    ranks = np.empty(len(asking), np.int64)
+    for a in range(0, len(queries), 128):
+        own = np.flatnonzero((asking >= a) & (asking < a + 128))
+        where = routes.best(queries[a : a + 128], parts)[asking[own] - a] == meant[own, None]
+        ranks[own] = np.where(where.any(1), where.argmax(1), parts - 1)
     return int(np.sort(ranks)[min(len(ranks) - 1, int(np.ceil(recall * len(ranks))) - 1)]) + 1
 
 
+def _asked_parts(batches: Iterator[pa.RecordBatch], routes: Routes | None, asked: int, dim: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Stretches of the batches (rep, v, ...), and for each part that a row of theirs asks
+    the row's number, the part and whether it is the row's home."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, _SCORED):
+            rows = batch.slice(a, _SCORED)
+            order = np.zeros((rows.num_rows, 1), np.int64) if routes is None else routes.best(_matrix(rows.column(1), dim), asked)
+            row, rank = np.nonzero(order >= 0)
+            yield rows, row, order[row, rank], rank == 0
+
+
+def part_sizes(batches: Iterator[pa.RecordBatch], routes: Routes | None, asked: int, dim: int, parts: int) -> Iterator[pa.RecordBatch]:
+    """(part, queries, homes): how many rows (rep, v) ask a part and live there."""
+    queries, homes = np.zeros(parts, np.int64), np.zeros(parts, np.int64)
+    for _, _, part, home in _asked_parts(batches, routes, asked, dim):
+        queries += np.bincount(part, minlength=parts)
+        homes += np.bincount(part[home], minlength=parts)
+    some = np.flatnonzero(queries)
+    yield pa.record_batch([pa.array(some), pa.array(queries[some]), pa.array(homes[some])], names=["part", "queries", "homes"])
+
+
+def sent_to_parts(batches: Iterator[pa.RecordBatch], routes: Routes | None, asked: int, dim: int, base_blocks: np.ndarray, query_blocks: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows (rep, v, salt) for the comparisons (part, b, q): as bases (role 1) in their
+    home, as queries (2) in the parts they ask, or both (3).
+
+    A base lies in one block b and meets all blocks q of queries, a query the reverse.
+    Where a part is one block, its members are bases and queries in one row.
+    """
+    for rows, row, part, home in _asked_parts(batches, routes, asked, dim):
+        salt = rows.column(2).to_numpy()[row]
+        bases, queries = base_blocks[part], query_blocks[part]
+        single = (bases == 1) & (queries == 1)
+        # Copies of a row: in its home one for each block of queries, as a query one for each block of bases.
+        as_base = np.where(home & ~single, queries, 0)
+        n = as_base + bases
+        begin = np.cumsum(n) - n
+        for a in range(0, int(n.sum()), _SENT):
+            copy = np.arange(a, min(a + _SENT, int(n.sum())))
+            i = np.searchsorted(begin, copy, side="right") - 1
+            c = copy - begin[i]
+            base = c < as_base[i]
+            b = np.where(base, salt[i] % bases[i], c - as_base[i])
+            q = np.where(base, c, salt[i] % queries[i])
+            role = np.where(base, 1, np.where(home[i] & single[i], 3, 2))
+            at = pa.array(row[i])
+            yield pa.record_batch([rows.column(0).take(at), rows.column(1).take(at), pa.array(part[i]), pa.array(b.astype(np.int32)), pa.array(q.astype(np.int32)), pa.array(role.astype(np.int8))], names=["rep", "v", "part", "b", "q", "role"])
+
+
 def _search(vectors: DataFrame, kind: str, dim: int, k: int, least: float, probes: int | None, recall: float, part_rows: int, most_parts: int, sample_rows: int, most_sample_rows: int, most_regions: int, block_rows: int, held_out: int) -> DataFrame:
     """(rep, near, sim): the k nearest of every distinct vector."""
     table = checkpointed(vectors.select("rep", "v"))
@@ -309,34 +380,18 @@ def _search(vectors: DataFrame, kind: str, dim: int, k: int, least: float, probe
         parts = routes.begins[-1]
         asked = min(probes, parts) if probes else probes_needed(table, routes, x[fitting:], taken["rep"][fitting:].combine_chunks(), dim, k, least, recall)
 
-    def route(batches):
-        for batch in batches:
-            x = _matrix(batch.column(1), dim)
-            order = np.zeros((len(x), 1), np.int64) if routes is None else routes.best(x, asked)
-            home = np.zeros(order.shape, bool)
-            home[:, 0] = True
-            row, rank = np.nonzero(order >= 0)
-            at = pa.array(row)
-            yield pa.record_batch([batch.column(0).take(at), batch.column(1).take(at), pa.array(order[row, rank]), pa.array(home[row, rank])], names=["rep", "v", "part", "home"])
+    def count(batches):
+        return part_sizes(batches, routes, asked, dim, parts)
 
-    routed = table.mapInArrow(route, f"rep {kind}, v array<float>, part bigint, home boolean")
     # Sizes of the parts, at most ``most_parts`` rows, tell how many blocks they need.
-    sizes = routed.groupBy("part").agg(F.count("*").alias("queries"), F.count_if("home").alias("homes")).collect()
-    base_blocks = {r["part"]: -(-r["homes"] // block_rows) or 1 for r in sizes}
-    query_blocks = {r["part"]: -(-r["queries"] // block_rows) or 1 for r in sizes}
-
-    def lookup(blocks: dict[int, int]) -> Column:
-        many = {p: b for p, b in blocks.items() if b > 1}
-        if not many:
-            return F.lit(1)
-        return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pb in many.items() for x in pb)), "part"), F.lit(1))
-
-    salt = F.xxhash64("rep")
-    # Where a part is one block, its members are bases and queries in one row.
-    single = (lookup(base_blocks) == 1) & (lookup(query_blocks) == 1)
-    bases = routed.where("home").select("rep", "v", "part", F.pmod(salt, lookup(base_blocks)).cast("int").alias("b"), F.explode(F.sequence(F.lit(0), lookup(query_blocks) - 1)).alias("q"), F.when(single, 3).otherwise(1).cast("byte").alias("role"))
-    others = routed.where(~(F.col("home") & single))
-    queries = others.select("rep", "v", "part", F.explode(F.sequence(F.lit(0), lookup(base_blocks) - 1)).alias("b"), F.pmod(salt, lookup(query_blocks)).cast("int").alias("q"), F.lit(2).cast("byte").alias("role"))
+    counted = table.mapInArrow(count, "part bigint, queries bigint, homes bigint").groupBy("part").agg(F.sum("queries").alias("queries"), F.sum("homes").alias("homes"))
+    base_blocks, query_blocks = np.ones(parts, np.int64), np.ones(parts, np.int64)
+    for r in counted.collect():
+        base_blocks[r["part"]] = max(1, -(-r["homes"] // block_rows))
+        query_blocks[r["part"]] = max(1, -(-r["queries"] // block_rows))
+
+    def send(batches):
+        return sent_to_parts(batches, routes, asked, dim, base_blocks, query_blocks)
 
     def compare(group: pa.Table) -> pa.Table:
         role = group["role"].to_numpy()
@@ -370,6 +425,7 @@ def _search(vectors: DataFrame, kind: str, dim: int, k: int, least: float, probe
         q, b, v = (np.concatenate(o) if o else np.zeros(0, t) for o, t in ((out_q, np.int64), (out_b, np.int64), (out_s, float)))
         return pa.table({"rep": names.take(pa.array(q)), "near": names.take(pa.array(b)), "sim": pa.array(v, pa.float64())})
 
-    found = bases.unionByName(queries).groupBy("part", "b", "q").applyInArrow(compare, f"rep {kind}, near {kind}, sim double")
+    sent = table.select("rep", "v", F.xxhash64("rep").alias("salt")).mapInArrow(send, f"rep {kind}, v array<float>, part bigint, b int, q int, role byte")
+    found = sent.groupBy("part", "b", "q").applyInArrow(compare, f"rep {kind}, near {kind}, sim double")
     order = Window.partitionBy("rep").orderBy(F.desc("sim"), "near")
     return found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")

@@ -1,6 +1,10 @@
 from __future__ import annotations
 
+import contextlib
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 
 from glossweave.llm import neighbours
 
@@ -114,3 +118,69 @@ def test_least_similarity(spark):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     want = {(a, b) for a, b in brute(x.astype(np.float32).astype(float), 3) if u[a] @ u[b] >= 0.8}
     assert run(spark, x, k=3, least=0.8, part_rows=100, sample_rows=600) == want
+
+
+class Task:
+    """Stands for a table and keeps what would run in its tasks."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        raise StopIteration
+
+
+def many_parts(rng, parts=400):
+    u = lambda *size: rng.normal(size=size).astype(np.float32)
+    return neighbours.Routes(neighbours.Router(u(64, 128), u(128), u(128, parts), u(parts)), [None] * parts, list(range(parts + 1)))
+
+
+def unit_rows(rng, n):
+    x = rng.normal(size=(n, 64)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_measuring_probes_takes_little_memory():
+    """A task compares 10,000 rows with all held-out vectors, but not all at once."""
+    rng = np.random.default_rng(8)
+    x, queries, task, routes = unit_rows(rng, 10_000), unit_rows(rng, 1024), Task(), many_parts(rng)
+    queries[:50] = x[-50:]  # these are the rows themselves
+    names = pa.array([*range(9950, 10_000), *range(20_000, 20_974)], pa.int64())
+    with contextlib.suppress(StopIteration):
+        neighbours.probes_needed(task, routes, queries, names, 64, 3, -1.0, 0.999)
+    batch = pa.record_batch([pa.array(range(10_000), pa.int64()), pa.array(x.tolist(), pa.list_(pa.float32()))], names=["rep", "v"])
+    tracemalloc.start()
+    out = list(task.run(iter([batch])))[0]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    s = queries @ x.T
+    s[np.arange(50), np.arange(9950, 10_000)] = -2
+    home = routes.best(x, 1)[:, 0]
+    best = np.argsort(-s, axis=1)[:, :3]
+    got = [sorted(zip(np.round(out["sim"].to_numpy()[own], 4).tolist(), out["part"].to_numpy()[own].tolist())) for q in range(1024) for own in [out["q"].to_numpy() == q]]
+    assert got == [sorted(zip(np.round(s[q, b].astype(float), 4).tolist(), home[b].tolist())) for q, b in enumerate(best)]
+    assert peak < 150e6
+
+
+def test_rows_are_sent_in_small_batches():
+    """Every base meets every row that asks its part once, whatever the blocks."""
+    rng = np.random.default_rng(9)
+    x, routes = unit_rows(rng, 3000), many_parts(rng, 6)
+    base, query = np.array([1, 2, 1, 3, 1, 2]), np.array([1, 3, 2, 1, 1, 4])
+    salt = rng.integers(-(1 << 40), 1 << 40, 3000)
+    batch = pa.record_batch([pa.array(range(3000), pa.int64()), pa.array(x.tolist(), pa.list_(pa.float32())), pa.array(salt)], names=["rep", "v", "salt"])
+    sent = list(neighbours.sent_to_parts(iter([batch]), routes, 4, 64, base, query))
+    assert max(b.num_rows for b in sent) <= 8192 < sum(b.num_rows for b in sent)
+    got = sorted(r for b in sent for r in zip(*(b[c].to_pylist() for c in ("rep", "part", "b", "q", "role"))))
+    want = []
+    for i, order in enumerate(routes.best(x, 4).tolist()):
+        for p in order:
+            one = base[p] == query[p] == 1
+            if p == order[0] and not one:
+                want += [(i, p, salt[i] % base[p], q, 1) for q in range(query[p])]
+            want += [(i, p, b, salt[i] % query[p], 3 if one and p == order[0] else 2) for b in range(base[p])]
+    assert got == sorted(want)
+    sizes = list(neighbours.part_sizes(iter([batch]), routes, 4, 64, 6))[0].to_pydict()
+    asked = routes.best(x, 4)
+    assert sizes == {"part": list(range(6)), "queries": np.bincount(asked.ravel(), minlength=6).tolist(), "homes": np.bincount(asked[:, 0], minlength=6).tolist()}
