@@ -122,6 +122,25 @@ def unescaped(x: Column) -> Column:
     return F.translate(x, "_ ", "  ")
 
 
+def field_escaped(x: Column) -> Column:
+    """A field of a tab-separated line: backslash, tab and line breaks by a backslash."""
+    for plain, written in (("\\", "\\\\"), ("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+        x = F.replace(x, F.lit(plain), F.lit(written))
+    return x
+
+
+def field_unescaped(x: Column) -> Column:
+    """What ``field_escaped`` was made from."""
+
+    def part(p: Column) -> Column:
+        for plain, written in (("\t", "\\t"), ("\n", "\\n"), ("\r", "\\r")):
+            p = F.replace(p, F.lit(written), F.lit(plain))
+        return p
+
+    # Between doubled backslashes all others begin an escape.
+    return F.array_join(F.transform(F.split(x, r"\\\\"), part), "\\")
+
+
 def uri_title(uri: Column) -> Column:
     """The name in the last step of a link or path, percent-decoded, as an entity title."""
     step = F.regexp_extract(uri, r"([^/]*)$", 1)

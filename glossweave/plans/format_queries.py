@@ -226,8 +226,7 @@ def snk_samples(s, d):
 def snk_frequency_table(s, d):
     path = _folder(s)
     writers.frequency_table(D.entity_frequency(D.mention_counts(dictionary_queries._links(s, d))), path, "freq", 2)
-    f = F.split("value", "\t")
-    return s.read.text(path).select(F.get(f, 0).alias("entity"), F.get(f, 1).cast("bigint").alias("freq"))
+    return readers.frequency_table(s, path).select(F.col("name").alias("entity"), F.col("n").alias("freq"))
 
 
 @query("SELECT annotation_id::VARCHAR AS doc, m_offset AS \"begin\", m_offset + m_length AS \"end\", mention AS anchor, 'http://e/' || annotation_id AS ref FROM (SELECT DISTINCT annotation_id, mention, m_offset, m_length FROM annotations WHERE mention IS NOT NULL AND m_offset IS NOT NULL AND m_length IS NOT NULL)")

@@ -299,6 +299,12 @@ def universe(spark: SparkSession, path: str) -> DataFrame:
     return _fields(spark, path).select(F.get("f", 0).try_cast("bigint").alias("id")).where("id is not null").distinct()
 
 
+def frequency_table(spark: SparkSession, path: str) -> DataFrame:
+    """``name⇥count`` lines, as ``writers.frequency_table`` makes them: (name, n)."""
+    f = _fields(spark, path, 2)
+    return f.select(text.field_unescaped(F.get("f", 0)).alias("name"), F.get("f", 1).cast("bigint").alias("n"))
+
+
 def endless(first: Callable[[], Iterable[DataFrame]], times: int, then: Callable[[], Iterable[DataFrame]]) -> Iterator[DataFrame]:
     """The parts of a table ``times`` over, then those of another one without end; each
     round opens its table anew."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glossweave.functions import text
+
 
 def token_stream_lines(docs: DataFrame) -> DataFrame:
     """(doc, value): the lines of a document (doc, words, gold) in its token stream, with
@@ -73,8 +75,8 @@ def extension(universe: DataFrame, known: DataFrame, on: str = "id") -> DataFram
 
 
 def write_table(df: DataFrame, path: str) -> None:
-    """Tab-separated lines of a table's columns."""
-    df.select(F.concat_ws("\t", *(F.col(c).cast("string") for c in df.columns)).alias("value")).write.mode("overwrite").text(path)
+    """Tab-separated lines of a table's columns; tabs and line breaks in them are escaped."""
+    df.select(F.concat_ws("\t", *(text.field_escaped(F.col(c).cast("string")) for c in df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
 def frequency_table(freq: DataFrame, path: str, n: str, least: int = 10) -> None:

@@ -122,3 +122,19 @@ def test_files_tables_epochs(spark, put, tmp_path):
 def test_single_strings(spark):
     df = spark.createDataFrame([("d", 1, "b"), ("d", 0, "a")], "doc string, pos int, word string")
     assert rows(writers.single_strings(df)) == [("d", "a b")]
+
+
+def test_frequency_table_keeps_names_with_tabs_and_line_breaks(spark, tmp_path):
+    names = ["plain", "end\t", "a\tb", "two\nlines", "c\r\nd", "back\\slash", "not a tab\\t", "\\\\t\t\\", "\\", ""]
+    table = spark.createDataFrame([(w, 10 + i) for i, w in enumerate(names)] + [("rare\t", 9)], "w string, n int")
+    writers.frequency_table(table, str(tmp_path / "freq"), "n")
+    assert rows(readers.frequency_table(spark, str(tmp_path / "freq"))) == sorted((w, 10 + i) for i, w in enumerate(names))
+
+
+def test_frequency_query_with_repeated_odd_names(spark, tmp_path):
+    from glossweave.plans import format_queries
+
+    kinds = "annotation_id bigint, doc string, mention string, wikiName string, m_offset int, m_length int, annotated_at timestamp, ingested_at timestamp"
+    odd = ["Pexthas\t", "Pexthas\t", "a\nb", "a\nb", "a\nb", "once\t", "plain", "plain"]
+    spark.createDataFrame([(i, "d", "m", w, 0, 1, None, None) for i, w in enumerate(odd)], kinds).write.parquet(str(tmp_path / "annotations.parquet"))
+    assert rows(format_queries.snk_frequency_table(spark, str(tmp_path)).select("entity", "freq")) == [("Pexthas\t", 2), ("a\nb", 3), ("plain", 2)]
