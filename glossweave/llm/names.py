@@ -10,13 +10,16 @@ letter a step.
 
 Words of a typed name that shorten a word which recurs in the reference list (its
 beginning, or its first and last letter with some between, or initials) lead to alias
-paths with that word; no list of abbreviations is kept.
+paths with that word; no list of abbreviations is kept.  Where a name's shortened words
+allow many readings, they are put together word by word, and those that no entry begins
+like, within the errors, are left.
 """
 
 from __future__ import annotations
 
 import html
 import itertools
+import math
 import re
 import unicodedata
 import uuid
@@ -112,25 +115,45 @@ def abbreviates(short: str, word: str) -> bool:
     return all(c in rest for c in short)
 
 
+def key_parts(choices: list[list[str]]) -> list[list[list[str]]]:
+    """The keys that ``forms`` gives of all names whose words are one of each choice, as
+    runs of parts, each with its alternatives."""
+    parts = [[key_of(w) for w in c] for c in choices]
+    first = choices[0][0]
+    if len(choices) > 1 and len(choices[0]) == 1 and len(first.rstrip(".")) == 1 and first[0].isalpha():
+        out = [[[key_of(first) + _INITIAL], *parts[1:]]]
+    else:
+        out = [parts]
+    # A word with a comma has no alternatives, as these are keys.
+    comma = next((i for i, c in enumerate(choices) if "," in c[0]), None)
+    if comma is not None:
+        before, _, after = choices[comma][0].partition(",")
+        if (comma or before.strip()) and (after.strip() or comma + 1 < len(choices)):
+            out.append([[key_of(after)], *parts[comma + 1 :], *parts[:comma], [key_of(before)]])
+    return out
+
+
 class Recurring:
     """Words that recur in the reference list, and the readings that they give a name."""
 
     def __init__(self, words: list[tuple[str, bool]], most: int = 16):
+        #: Names with more readings are not read one by one but along the trie.
         self.most = most
         self.initials = {w for w, dotted in words if dotted}
+        self.runs = sorted({len(w) for w in self.initials if len(w) > 1}, reverse=True)
         self.plain = {w for w, dotted in words if not dotted}
         self.by_letter: dict[str, list[str]] = {}
         for w in sorted(self.plain):
             self.by_letter.setdefault(w[0], []).append(w)
 
-    def readings(self, plain: str) -> list[str]:
-        """The name with its shortened words written out, and words written out shortened
-        to their initials, in every way the list's words allow, up to ``most``."""
+    def choices(self, plain: str) -> list[list[str]]:
+        """For each word, or run of words, of the name what it may stand for: shortened
+        words are written out, words whose initials recur are shortened to them."""
         words = plain.split(" ")
         choices: list[list[str]] = []
         i = 0
         while i < len(words):
-            run = next((n for n in (4, 3, 2) if i + n <= len(words) and "".join(key_of(w)[:1] for w in words[i : i + n]) in self.initials), 0)
+            run = next((n for n in self.runs if i + n <= len(words) and "".join(key_of(w)[:1] for w in words[i : i + n]) in self.initials), 0)
             if run and all(len(key_of(w)) > 1 for w in words[i : i + run]):
                 choices.append(["".join(key_of(w)[:1] for w in words[i : i + run])])
                 i += run
@@ -139,11 +162,18 @@ class Recurring:
             longer = [] if not k or k in self.plain else [w for w in self.by_letter.get(k[0], []) if abbreviates(k, w)]
             choices.append(longer or [words[i]])
             i += 1
-        out = [" ".join(c) for c in itertools.islice(itertools.product(*choices), self.most)]
-        # A shortened word before a name, as a person's title, may stand for none of them.
-        if len(words) > 1 and words[0].endswith(".") and len(key_of(words[0])) > 1:
-            out.append(" ".join(words[1:]))
-        return [r for r in out if r != plain]
+        return choices
+
+    def untitled(self, plain: str) -> list[str]:
+        """The name without a shortened word before it: such a word, as a person's title,
+        may stand for none of the list's."""
+        first, _, rest = plain.partition(" ")
+        return [rest] if rest and first.endswith(".") and len(key_of(first)) > 1 else []
+
+    def readings(self, plain: str) -> list[str]:
+        """The name in every way that the list's words allow."""
+        out = [" ".join(c) for c in itertools.product(*self.choices(plain))]
+        return [r for r in out + self.untitled(plain) if r != plain]
 
 
 class Trie:
@@ -181,6 +211,15 @@ class Trie:
         return found
 
 
+    def begin(self, asked: list[str], most: int, at_once: int = 100) -> list[bool]:
+        """Whether a beginning of any key is within ``most`` errors of each asked one."""
+        found = np.array([len(k) <= most for k in asked], bool)
+        for a in range(0, len(asked), at_once):
+            hit, _, _ = self.forward.walk(asked[a : a + at_once], None, most)
+            found[a + np.array(hit, np.int64)] = True
+        return found.tolist()
+
+
 class _Tree:
     """A trie over sorted keys, by levels: the children of a node lie side by side."""
 
@@ -214,9 +253,9 @@ class _Tree:
         self.first = 1 + np.cumsum(self.children) - self.children
         self.alphabet, self.code = np.unique(self.letter, return_inverse=True)
 
-    def walk(self, asked: list[str], half: list[int], most: int) -> tuple[list[int], list[int], list[int]]:
+    def walk(self, asked: list[str], half: list[int] | None, most: int) -> tuple[list[int], list[int], list[int]]:
         """(asked, key, distance) of keys within ``most`` errors, of which at most half
-        before ``half``.
+        before ``half``; without ``half``, of any beginning of a key the first found.
 
         The automaton's states are one bit set for each number of errors: bit i means
         that the asked key's first i letters are matched by those on the way from the root.
@@ -232,9 +271,9 @@ class _Tree:
                 if n is not None:
                     has[q, n] |= whole(1 << i)[()]
         full = whole([(1 << (len(k) + 1)) - 1 for k in asked])
-        late = whole([((1 << (len(k) + 1)) - 1) & ~((1 << h) - 1) for k, h in zip(asked, half, strict=True)])
+        late = whole([((1 << (len(k) + 1)) - 1) & ~((1 << h) - 1) for k, h in zip(asked, half or [0] * len(asked), strict=True)])
         accept = whole([1 << len(k) for k in asked])
-        allowed = [full if d <= most // 2 else late for d in range(most + 1)]
+        allowed = [full if half is None or d <= most // 2 else late for d in range(most + 1)]
         q, node = np.arange(len(asked)), np.zeros(len(asked), np.int64)
         states = [whole([(1 << (d + 1)) - 1] * len(asked)) & allowed[d] for d in range(most + 1)]
         before, last = [np.zeros(len(asked), kind) for _ in states], np.zeros(len(asked), kind)
@@ -254,7 +293,7 @@ class _Tree:
             for s in now[1:]:
                 alive |= s != 0
             q, node, states, before, last = q[alive], node[alive], [s[alive] for s in now], [s[alive] for s in old], own[alive]
-            ends = np.flatnonzero(self.end[node] >= 0)
+            ends = np.flatnonzero(self.end[node] >= 0) if half is not None else np.arange(len(q))
             if len(ends):
                 errors = np.full(len(ends), most + 1)
                 for d in range(most, -1, -1):
@@ -262,6 +301,9 @@ class _Tree:
                 good = errors <= most
                 for column, values in zip(out, (q[ends], self.end[node[ends]], errors), strict=True):
                     column.extend(values[good].tolist())
+                if half is None:
+                    left = ~np.isin(q, q[good])
+                    q, node, states, before, last = q[left], node[left], [s[left] for s in states], [s[left] for s in before], last[left]
         return out
 
 
@@ -270,6 +312,9 @@ def most_errors(length: int) -> int:
     return 0 if length < 5 else 1 if length < 7 else 2
 
 
+#: Errors that any key may have at most.
+_MOST_ERRORS = most_errors(1 << 20)
+
 #: Rank of a name with no entry in reach, after all others.
 _NO_HIT = 1 << 20
 
@@ -306,7 +351,7 @@ class Matcher:
         open_keys: dict[int, list[tuple[int, int, str]]] = {0: [], 1: [], 2: []}
         for at, name in enumerate(names):
             plain = cleaned(name)
-            own, read = forms(plain), [k for r in self.recurring.readings(plain) for k in forms(r)]
+            own, read = forms(plain), self._read_keys(plain)
             hit = self._exact(own, 0) or self._exact(read, 50)
             out.append(hit)
             if hit is None:
@@ -324,6 +369,23 @@ class Matcher:
                         hit.ids = sorted({*hit.ids, *self.alias[self.trie.keys[n]]})
         return [hit or near.get(at, Hit()) for at, hit in enumerate(out)]
 
+    def _read_keys(self, plain: str) -> list[str]:
+        """Keys of the name's readings; where these are many, of all that can be within
+        reach of an entry."""
+        choices = self.recurring.choices(plain)
+        if math.prod(map(len, choices)) <= self.recurring.most:
+            return [k for r in self.recurring.readings(plain) for k in forms(r)]
+        out = [k for r in self.recurring.untitled(plain) for k in forms(r)]
+        for parts in key_parts(choices):
+            begun = [""]
+            for alternatives in parts:
+                begun = list(dict.fromkeys(b + k for b in begun for k in alternatives))
+                if len(begun) > self.recurring.most:
+                    # What no beginning of a key is near to leads to no key.
+                    begun = [b for b, near in zip(begun, self.trie.begin(begun, _MOST_ERRORS), strict=True) if near]
+            out += [k for k in begun if k]
+        return out
+
     def _exact(self, keys: list[str], rank: int) -> Hit | None:
         """The first key that is an entry's own, else the first that is an alias; of the
         readings of shortened words all that are."""
@@ -340,7 +402,7 @@ class Matcher:
         return None
 
 
-def mapped(df: DataFrame, key: str, typed: str, hint: str, entries: DataFrame, name: str, entry_id: str, old_names: DataFrame, old: str, new: str, entries_a_pass: int = 50_000, broadcast_bytes: int = 32 << 20) -> DataFrame:
+def mapped(df: DataFrame, key: str, typed: str, hint: str, entries: DataFrame, name: str, entry_id: str, old_names: DataFrame, old: str, new: str, entries_a_pass: int = 50_000, broadcast_bytes: int = 32 << 20, one_in: int = 2000) -> DataFrame:
     """The entry that every typed name means.
 
     ``old_names`` (old, new) are further names of entries; an old name whose new one is
@@ -357,12 +419,15 @@ def mapped(df: DataFrame, key: str, typed: str, hint: str, entries: DataFrame, n
     passes are then put together.  What the names mean goes back to the rows by a
     broadcast up to ``broadcast_bytes``; beyond that only names that fill a 64th of the
     rows do, the others by a shuffle.
+
+    Words recur, and may be shortened, that eight names hold and one of ``one_in``, which
+    bounds how many reach the driver; with 0, all that eight names hold.
     """
     listed = entries.where(F.col(name).isNotNull() & F.col(entry_id).isNotNull()).groupBy(F.col(name).alias("n")).agg(F.min(entry_id).cast("bigint").alias("i"))
     renamed = old_names.where(F.col(old).isNotNull()).select(F.col(old).alias("o"), F.col(new).alias("n")).join(listed, "n", "left").groupBy(F.col("o").alias("n")).agg(F.coalesce(F.max("i"), F.lit(-1)).alias("i"))
     both = checkpointed(listed.withColumn("listed", F.lit(True)).unionByName(renamed.join(listed, "n", "left_anti").withColumn("listed", F.lit(False))))
     n_names = both.count()
-    words = _recurring(both, n_names)
+    words = _recurring(both, max(8, n_names // one_in) if one_in else 8)
     rows = df.where(F.col(typed).isNotNull() & F.regexp_like(F.col(typed), F.lit("\\S"))).select(F.col(key).alias("key"), F.col(typed).alias("typed"), F.col(hint).alias("hint"))
     asked = checkpointed(rows.groupBy("typed").agg(F.count("*").alias("n")))
     passes = max(1, -(-n_names // entries_a_pass))
@@ -390,9 +455,8 @@ def mapped(df: DataFrame, key: str, typed: str, hint: str, entries: DataFrame, n
     return known.unionByName(open_rows.mapInArrow(_by_hint, f"key {kind}, typed string, entry_id bigint, distance bigint, as_listed boolean"))
 
 
-def _recurring(names: DataFrame, n_names: int) -> list[tuple[str, bool]]:
-    """Words that at least eight names hold, and one in two thousand: so many at most as
-    two thousand times the words of a name."""
+def _recurring(names: DataFrame, least: int) -> list[tuple[str, bool]]:
+    """Words that at least ``least`` names hold."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -400,7 +464,7 @@ def _recurring(names: DataFrame, n_names: int) -> list[tuple[str, bool]]:
             yield pa.record_batch([pa.array([w for w, _ in words], pa.string()), pa.array([d for _, d in words], pa.bool_())], names=["w", "dotted"])
 
     counted = names.select("n").mapInArrow(split, "w string, dotted boolean").groupBy("w", "dotted").count()
-    return sorted((r["w"], r["dotted"]) for r in counted.where(F.col("count") >= max(8, n_names // 2000)).collect())
+    return sorted((r["w"], r["dotted"]) for r in counted.where(F.col("count") >= least).collect())
 
 
 def _ready(entries: pa.Table, words: tuple[tuple[str, bool], ...]) -> tuple[Matcher, set[str]]:

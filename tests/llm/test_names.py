@@ -136,3 +136,42 @@ def test_hot_names_and_large_tables(spark):
     typed, listed, old = frames(spark, rows)
     out = names.mapped(typed, "aid", "typed_name", "hint", listed, "name", "entity_id", old, "old", "new", broadcast_bytes=10).collect()
     assert len(out) == 300 and all(r["entry_id"] == (2 if r["key"] % 3 else -1) for r in out)
+
+
+def test_all_readings_of_a_name_count():
+    """The readings of many shortened words, found along the trie, are those of brute force."""
+    rng = random.Random(6)
+    longs = {k: [k + e + c for e in ("versity", "ted") for c in "ae"] for k in ("uni", "nat", "col", "soc", "dep")}
+    recurring = [(w, False) for ws in longs.values() for w in ws] + [("fc", True), ("abcdef", True)]
+    entries = [("A.B.C.D.E.F. Korvin", 900), ("Natteda Coltede Universitye Soctede Depversitye Lummox", 901)]
+    for i in range(100):
+        words = [rng.choice(longs[rng.choice(list(longs))]).title() for _ in range(rng.randrange(3, 5))]
+        entries.append((" ".join([*words, rng.choice(["Xalmon", "Yortrip", "Q. Zastem"])]), i))
+    m, brute = names.Matcher(entries, recurring), names.Matcher(entries, recurring)
+    brute.recurring.most = 1 << 40
+    typed = ["Nat Col Uni Soc Dep Lummox", "Lummox, Nat Col Uni Soc. Dep", "Nat Col Uni Soc Dep Lumox", "Dr. Nat Col Uni Lummox"]
+    for n, _ in entries[2:12]:
+        words = n.split(" ")
+        short = [w[:3] if w[:3].lower() in longs else w for w in words]
+        at = rng.randrange(1, len(words))
+        typed += [" ".join(short), " ".join([*short[:-1], short[-1][:-1]]), ", ".join([" ".join(short[at:]), " ".join(short[:at])]), "K. " + " ".join(short)]
+    got = m.best(typed)
+    assert got == brute.best(typed)
+    assert got[0] == names.Hit(50, 0, [901]) and got[1].ids == got[2].ids == [901]
+    assert m.best(["Anton Berta Cesar Dora Emil Friedrich Korvin"])[0].ids == [900]
+    assert m.best(["Nat Col Uni Soc Dep " * 40])[0].ids == []
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abc", min_size=1, max_size=7), min_size=1, max_size=8), st.lists(st.text("abc", min_size=1, max_size=6), min_size=1, max_size=4), st.integers(0, 2))
+def test_beginnings_within_errors(words, typed, most):
+    got = names.Trie(words).begin(typed, most, at_once=2)
+    assert got == [any(osa(t, w[:n]) <= most for w in words for n in range(len(w) + 1)) for t in typed]
+
+
+def test_words_of_eight_names_recur_in_any_list(spark):
+    listed = spark.createDataFrame([(f"{c * 6} Observatory", i) for i, c in enumerate("bdfgklmn")] + [(f"{c}{d}zzqqx", 100 + i) for i, (c, d) in enumerate((c, d) for c in "bdfgklmn" for d in "rstvw")], "name string, entity_id bigint")
+    typed, _, old = frames(spark, [(1, "Gggggg Obs.", None, "x", 1)])
+    for one_in, want in ((2000, 3), (4, -1), (0, 3)):
+        out = names.mapped(typed, "aid", "typed_name", "hint", listed, "name", "entity_id", old.where("false"), "old", "new", one_in=one_in).collect()
+        assert [r["entry_id"] for r in out] == [want]
